@@ -40,15 +40,20 @@ def utf8(col: Column) -> Column:
     return F.coalesce(col.cast("string").cast("binary"), F.lit(b""))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, which Python gets in Arrow batches of bounded size."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Each row through a Python function, in Arrow batches of bounded size.
 
     make() runs once a task and returns the function; it gets the row's values and returns a tuple of the schema.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    kinds = arrow_schema(spark, schema)
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
@@ -58,10 +63,10 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, kinds, strict=True)], schema=kinds)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
