@@ -54,12 +54,17 @@ def segments(max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _part(fp: Column, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def variants(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Adds key: one for each bit of the fingerprint, naming that bit and holding its segment's other bits."""
-    fp, keys = F.col("fp"), []
-    for shift, bits in segments(max_bits):
-        part = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
-        keys += [part.bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit((shift + i) << 48)) for i in range(bits)]
+    """Adds key, one for each bit of the fingerprint: that bit's place and its segment's other bits."""
+    keys = [
+        _part(F.col("fp"), shift, bits).bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit((shift + i) << 48))
+        for shift, bits in segments(max_bits)
+        for i in range(bits)
+    ]
     return fps.withColumn("key", F.explode(F.array(*keys)))
 
 
@@ -67,31 +72,47 @@ def _near(a: Column, b: Column, max_bits: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
+def _first_shared(a: Column, b: Column, key: Column, max_bits: int) -> Column:
+    """Whether key is the first variant that a and b share, so that a pair is met once."""
+    place, out = F.shiftright(key, 48).cast("int"), F.lit(False)
+    for shift, bits in reversed(segments(max_bits)):
+        off = _part(a.bitwiseXOR(b), shift, bits)
+        first = F.when(off == 0, place == shift).otherwise(off == F.expr("shiftleft(1L, int(shiftright(key, 48)) - %d)" % shift))
+        out = F.when(F.bit_count(off) <= 1, first).otherwise(out)
+    return out
+
+
+def _pivots(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) from fingerprints to a few pivots of those with an equal segment: no group's pairs are all made,
+    and yet most of a large group of near copies comes together."""
+    cuts = segments(max_bits)
+    keyed = fps.select("fp", F.explode(F.array(*(_part(F.col("fp"), *c).bitwiseOR(F.lit(i << 48)) for i, c in enumerate(cuts)))).alias("key"))
+    mixed = F.struct(F.xxhash64("fp"), "fp")
+    pivots = keyed.groupBy("key").agg(F.min("fp").alias("p0"), F.max("fp").alias("p1"), F.min(mixed).alias("p2"), F.max(mixed).alias("p3"))
+    pivots = pivots.where("p0 != p1").select("key", F.array("p0", "p1", "p2.fp", "p3.fp").alias("pivots"))
+    # Dealt out by a second key too, so that the adaptive planner can split a hot segment.
+    met = keyed.withColumn("h", F.xxhash64("key")).join(pivots.withColumn("h", F.xxhash64("key")), ["key", "h"])
+    near = F.filter("pivots", lambda p: (p != F.col("fp")) & _near(p, F.col("fp"), max_bits))
+    return met.select(F.col("fp").alias("a"), F.explode(near).alias("b"))
+
+
 def clusters(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct fingerprints (fp, least: the smallest doc_id) -> fp, component (a fingerprint of the component).
+    """Distinct fingerprints (fp) -> fp, component (a fingerprint of the component).
 
-    No group's pairs are all made. First each fingerprint is held against the least one of each of its buckets; that
-    joins large groups of near copies. Then, in buckets whose members are still of several components, the members
-    outside the bucket's commonest component are held against all members of other components: every link
-    between components has such an end, so none is lost.
+    Links to pivots come first and give each fingerprint a label. Then the index's equality join meets every two
+    fingerprints that share a variant, and keeps those that link different labels: none of these is lost, and what
+    the pivots have joined isn't made again.
     """
-    fps = fps.select("fp")
-    # The pivot is dealt out by a second key too, so that a hot bucket can be split by the adaptive planner.
-    keyed = variants(fps, max_bits)
-    pivots = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("pivot != top").select("key", "pivot")
-    shared = cut(keyed.withColumn("h", F.xxhash64("key")).join(pivots.withColumn("h", F.xxhash64("key")), ["key", "h"]).select("key", "fp", "pivot"))
-    first = components(shared.where(_near(F.col("fp"), F.col("pivot"), max_bits)).select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-    first = cut(first)
+    first = cut(components(_pivots(fps.select("fp"), max_bits)))
     label = F.coalesce("component", "fp").alias("label")
-    labelled = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", label)
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("k")).where("k > 1").select("key", "common")
-    left = labelled.withColumn("h", F.xxhash64("key")).join(mixed.withColumn("h", F.xxhash64("key")), ["key", "h"]).where("label != common").select("key", "fp", "label")
-    right = labelled.select("key", F.col("fp").alias("other"), F.col("label").alias("other_label"))
-    links = left.join(right, "key").where((F.col("label") != F.col("other_label")) & _near(F.col("fp"), F.col("other"), max_bits))
-    second = cut(components(links.select(F.col("label").alias("a"), F.col("other_label").alias("b"))))
-    named = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", label)
-    return named.join(second.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("component"))
+    labelled = cut(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", label))
+    a = variants(labelled, max_bits)
+    b = a.select("key", F.col("fp").alias("other"), F.col("label").alias("other_label"))
+    fp, other = F.col("fp"), F.col("other")
+    verified = (fp < other) & _near(fp, other, max_bits) & (F.col("label") != F.col("other_label")) & _first_shared(fp, other, F.col("key"), max_bits)
+    links = a.join(b, "key").where(verified).select(F.col("label").alias("a"), F.col("other_label").alias("b"))
+    second = components(links)
+    return labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
@@ -103,8 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = clusters(distinct, max_bits).withColumn("h", F.xxhash64("component"))
-    found = found.join(distinct, "fp")
+    found = cut(clusters(distinct, max_bits).join(distinct, "fp"))
     heads = found.groupBy("component").agg(F.min("least").alias("component_id"))
     named = found.select("fp", "component").join(heads, "component").select("fp", "component_id")
     # A fingerprint may be a third of all rows: the second key lets the planner split it.
