@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, simhash
+from tidemark.llm import bpe, decontaminate, pii, simhash
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = [k.name for k in pii.KINDS if k.base]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint) AS n_{k}") for k in base]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
+    )
+
+
 def vocabulary() -> str:
     """The tokenizer file of the queries, part of the installed tokenizers and so there on every executor."""
     import public_tokenizers
@@ -39,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
