@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, pii, simhash, topk, urls
+from tidemark.llm import bpe, decontaminate, licenses, paragraphs, pii, simhash, topk, urls
 from tidemark.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
@@ -74,6 +78,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op8_top_k": op8_top_k,
