@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, paragraphs, pii, simhash, topk, urls
+from tidemark.llm import bpe, chat, decontaminate, licenses, paragraphs, pii, quality, simhash, topk, urls
 from tidemark.llm.common import table
 
 
@@ -28,11 +28,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(table(spark, sf_dir, "documents"))
 
@@ -77,7 +87,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality": op2_quality,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_chat_format": op4_chat_format,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
@@ -101,4 +113,20 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-SQL: dict[str, str] = {"op8_top_k": TOP_K}
+#: Conversations as lists of turns; what another one begins with goes.
+CHAT = """
+WITH c AS (
+    SELECT conv_id, list(DISTINCT {'turn': turn, 'role': role, 'text': text}) AS l FROM conversations GROUP BY conv_id
+), o AS (
+    SELECT conv_id, list_sort(l) AS l, list_transform(list_sort(l), lambda t: {'role': t.role, 'text': t.text}) AS k FROM c
+), p AS (
+    SELECT DISTINCT list_slice(k, 1, i) AS k FROM (SELECT k, unnest(range(1, len(k))) AS i FROM o)
+), h AS (
+    SELECT min(conv_id) AS conv_id, count(*) AS n_copies, k FROM o GROUP BY k
+)
+SELECT conv_id, CAST(len(k) AS BIGINT) AS n_turns, n_copies,
+       array_to_string(list_transform(k, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), '') AS text
+FROM h WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = h.k)
+"""
+
+SQL: dict[str, str] = {"op4_chat_format": CHAT, "op8_top_k": TOP_K}
