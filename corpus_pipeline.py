@@ -1,13 +1,75 @@
-"""A corpus pipeline of the text operators."""
+"""A corpus pipeline of the text operators: quality, near-duplicates, decontamination, personal data, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Null, empty and repeated rows
+are as the operators have them: texts that are null stay null until personal data is redacted, which makes them empty.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, pii, quality, simhash
+from tidemark.llm.common import among, cut, shared_folder, table, without
+from tidemark.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold; the model learns from the labels of those at hand."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=("text", "lang", "source", "n_chars")).where(F.col("score") >= quality.THRESHOLD).select(COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest doc_id, and of its repeated rows one."""
+    found = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    kept = without(docs.select(COLUMNS), found.where("NOT doc_id <=> component_id"))
+    again = cut(found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    one = among(kept, again).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
+    return without(kept, again).unionByName(one)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents none of whose words is in a benchmark window."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs.select(COLUMNS), found.where("n_hit > 0"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind; n_chars follows."""
+    found = pii.find(docs, keep=("lang", "source"))
+    return found.withColumn("text", pii.redacted()).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the token ids, packed as little-endian unsigned 32-bit integers."""
+    return bpe.encode(docs, vocabulary()).select("doc_id", "n_tokens", "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", good_quality),
+    ("simhash near-dedup", one_of_each_group),
+    ("benchmark decontamination", decontaminated),
+    ("pii", redacted),
+    ("bpe", tokens),
+]
 
+#: Neither the classifier nor the tokenizer can be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages in order over documents, each written as Parquet and read again, in the cluster's shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/stage-{k}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

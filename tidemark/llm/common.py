@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -73,13 +74,40 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the folder that the cluster shares, so that a lost executor costs no rerun."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        # Only a local master has no shared folder of its own; on a cluster spark.checkpoint.dir has to be set.
-        if named is None and not sc.master.startswith("local"):
+        # Only a local master can do with a folder of its own.
+        if named is None and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, so that a lost executor costs no rerun."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Ids that are broadcast; more of them are joined by a shuffle.
+MOST_IDS = 200_000
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id, null included, isn't among ids."""
+    return _by_ids(df, ids, id_col, "left_anti")
+
+
+def among(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id, null included, is among ids."""
+    return _by_ids(df, ids, id_col, "left_semi")
+
+
+def _by_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    ids = cut(ids.select(F.col(id_col).alias("_id")).distinct())
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), how)

@@ -81,18 +81,18 @@ def _spans(kind: Kind) -> str:
     return f"if(size({m}) = 0, {NONE}, {spans})"
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """doc_id, text, spans (array of kind, start, end, score; by kind as listed, then by start), a row for each row.
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns to keep, spans (array of kind, start, end, score; by kind as listed, then by start), a row for each row.
 
     Places are code points, end exclusive. A match that its checksum or length refutes goes, without another try in it.
     Null texts count as empty and have no spans; repeated rows stay repeated; spans of different kinds may overlap;
     no rows give no rows. Other columns aren't read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
     empty = "cast(array() AS array<string>)"
     rows = rows.selectExpr("*", *(f"if({k.hint}, regexp_extract_all(text, r'{k.java}', 0), {empty}) AS m_{k.name}" for k in kinds))
     rows = rows.selectExpr("*", *(f"if(size(m_{k.name}) > 0, split(text, r'{k.java}', -1), {empty}) AS g_{k.name}" for k in kinds))
-    return rows.selectExpr("doc_id", "text", f"concat({', '.join(map(_spans, kinds))}) AS spans")
+    return rows.selectExpr("doc_id", "text", *keep, f"concat({', '.join(map(_spans, kinds))}) AS spans")
 
 
 def listed(spans: Column | str) -> Column:
@@ -100,8 +100,8 @@ def listed(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(found: DataFrame) -> Column:
-    """text with each run of overlapping spans replaced by the first one's kind, as in <EMAIL>. Needs find()'s columns."""
+def redacted() -> Column:
+    """Of find()'s rows, text with each run of overlapping spans replaced by the first one's kind, as in <EMAIL>."""
     runs = """aggregate(array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))),
         cast(array() AS array<struct<start: int, end: int, kind: string>>),
         (done, s) -> if(size(done) > 0 AND s.start < element_at(done, -1).end,
