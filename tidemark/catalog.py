@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tidemark.plans import streams as _streams  # registers its queries
 from tidemark.plans.queries import QUERIES, SQL
 
 FLAGSHIP = "tumbling_sum_keyed"
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
+__all__ = ["_streams", "FLAGSHIP", "QUERIES", "SQL"]
