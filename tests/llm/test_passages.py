@@ -66,43 +66,76 @@ def test_decontamination_in_one_pass_and_in_several(spark):
     assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
-def brute_repeats(texts):
+def brute_paragraphs(texts):
     found = []
     for i, t in sorted(texts.items()):
-        for pos, line in enumerate((t or "").split("\n")):
+        start = 0
+        for line in (t or "").split("\n"):
             w = words(line)
             if len(w) >= paragraphs.LEAST_WORDS:
-                found.append((i, pos, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+                found.append((i, start, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+            start += len(line) + 1
     same = [{(i, p)} for i, p, _ in found]
+    at = {f[:2]: k for k, f in enumerate(found)}
     for a in range(len(found)):
         for b in range(a):
             x, y = found[a][2], found[b][2]
             if same[a] is not same[b] and len(x & y) >= 0.8 * len(x | y):
                 same[a] |= same[b]
                 for place in list(same[b]):
-                    same[next(k for k, f in enumerate(found) if f[:2] == place)] = same[a]
+                    same[at[place]] = same[a]
     return {(*place, *min(c)) for c in same for place in c if place != min(c)}
 
 
-def test_repeated_paragraphs_against_brute_force(spark):
+def brute_passages(texts):
+    seen, out = {}, set()
+    for i, t in sorted(texts.items()):
+        word, run, own = 0, [], []
+        at = 0
+        parts = [(m.start(), m.end()) for m in re.finditer(r"[.!?\n]+|\s(?=[A-ZÀ-ÖØ-Þ])", t or "")] + [(len(t or ""),) * 2]
+        for a, b in parts:
+            w = words((t or "")[at:a])
+            if len(w) >= paragraphs.LEAST_SENTENCE:
+                own.append((word, word + len(w), at, a, " ".join(w)))
+            word, at = word + len(w), b
+        later = [s for s in own if s[4] in seen]
+        for s in [*later, None]:
+            if run and (s is None or s[0] - run[-1][1] > paragraphs.GAP):
+                if run[-1][1] - run[0][0] >= paragraphs.LEAST_PASSAGE:
+                    out.add((i, run[0][2], run[-1][3], *seen[run[0][4]]))
+                run = []
+            if s is not None:
+                run.append(s)
+        for s in own:
+            seen.setdefault(s[4], (i, s[2]))
+    return out
+
+
+def test_repeated_passages_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
     got = queries.op5_substring_dedup(spark, SMALL).collect()
-    assert {(r.doc_id, r.pos, r.kept_doc_id, r.kept_pos) for r in got} == brute_repeats(texts)
+    assert {(r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in got if r.unit == "paragraph"} == brute_paragraphs(texts)
+    assert {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in got if r.unit == "passage"} == brute_passages(texts)
     assert len(got) > 5
     for r in got:
-        line = texts[r.doc_id][r.start : r.end]
-        assert line == texts[r.doc_id].split("\n")[r.pos] and len(words(line)) == r.n_words
+        part = texts[r.doc_id][r.start : r.end]
+        assert len(words(part)) == r.n_words and (r.unit == "passage" or "\n" not in part)
 
 
-def test_repeated_paragraphs_odd_rows(spark):
+def test_repeated_passages_odd_rows(spark):
     w = [f"w{i}" for i in range(60)]
     near = " ".join([*w[:30], "changed", *w[31:]])
     far = " ".join(w[:20] + [f"v{i}" for i in range(40)])
     text = " ".join(w)
-    rows = [(1, f"é\n{text}"), (2, text.upper() + "!\nshort"), (3, near), (4, far), (5, None), (6, ""), (7, text), (7, text), (None, text), (8, f"{text}\n{text}")]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, pos int")
-    got = [(r.doc_id, r.pos, r.start, r.kept_doc_id) for r in paragraphs.repeats(docs).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, 2, None), (2, 0, 0, None), (3, 0, 0, None), (7, 0, 0, None), (7, 0, 0, None), (8, 0, 0, None), (8, 1, len(text) + 1, None)]))
+    inner = "Some passage of sentences that goes on for more than ten words. Then it has another sentence of rather many words. Short. And a third that makes it long enough to be a passage. At last the fourth one of them comes to its end here é."
+    rows = [(1, f"é\n{text}"), (2, text.upper() + "!\nshort"), (3, near), (4, far), (5, None), (6, ""), (7, text), (7, text), (None, text), (8, f"{text}\n{text}"), (9, f"before it {inner} after it"), (10, f"ÄÖ\nQuite {inner} elsewhere")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, pos int").coalesce(1)
+    got = paragraphs.repeats(docs).collect()
+    lines = [(r.doc_id, r.start, r.kept_doc_id) for r in got if r.unit == "paragraph"]
+    assert sorted(map(str, lines)) == sorted(map(str, [(1, 2, None), (2, 0, None), (3, 0, None), (7, 0, None), (7, 0, None), (8, 0, None), (8, len(text) + 1, None), (10, 3, 9)]))
+    inside = {r.doc_id: rows[11][1][r.start : r.end] for r in got if r.unit == "passage" and r.doc_id == 10}
+    assert inside == {10: inner[:-1]}
+    assert {r.doc_id for r in got} == {1, 2, 3, 7, 8, 10}
     assert paragraphs.repeats(docs.limit(0)).count() == 0
 
 

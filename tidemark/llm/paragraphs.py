@@ -1,26 +1,41 @@
-"""Repeated paragraphs by MinHash banding.
+"""Repeated passages by MinHash banding of paragraphs.
 
 Paragraphs (lines of some length) with equal words are one; the others' MinHash bands propose pairs, exact Jaccard
 similarity of word shingles verifies them, and of each connected component all but the first occurrence go.
+
+A passage may also stand within a longer line. Its sentences are too short to differ and still be similar, so for them
+one band, of all words, is enough: stretches of sentences that occur earlier go where they're long enough together.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_rows, utf8, words
+from tidemark.llm.common import MOST_IDS, cut, map_rows, shared_folder, utf8, words
 from tidemark.llm.components import components
 
 #: Words of a shingle, least similarity, words that a line needs to count.
 WIDTH, SIMILARITY, LEAST_WORDS = 5, 0.8, 40
 
-#: At a similarity of 0.8 a pair shares one of these bands with a probability of 0.9998, at 0.3 of 0.12.
-BANDS, ROWS = 16, 4
+#: Words that a sentence needs to count, that a passage of them needs, and that may part two of its sentences.
+LEAST_SENTENCE, LEAST_PASSAGE, GAP = 6, 45, 10
+
+#: Sentences are parted by what's in them alone: stops, line ends, and before a capital.
+STOPS = re.compile(r"[.!?\n]+|\s(?=[A-ZÀ-ÖØ-Þ])")
+
+#: At a similarity of 0.8 a pair shares one of these bands with a probability of 0.9992, at 0.3 of 0.24.
+BANDS, ROWS = 10, 3
+
+#: Members of a block, on average.
+MEMBERS = 128
 
 #: Shingles hashed at a time, which bounds a very long paragraph's memory.
 BLOCK = 20_000
@@ -30,6 +45,7 @@ _FACTOR = _rng.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint6
 _ADD = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
 
 PARAGRAPHS = "array<struct<pos: int, start: int, end: int, n_words: int, key: long, bands: array<long>>>"
+SENTENCES = "array<struct<first_word: int, n_words: int, start: int, end: int, key: long>>"
 
 
 def shingles(tokens: list[bytes], width: int = WIDTH) -> Iterator[bytes]:
@@ -60,31 +76,76 @@ def lines(text: bytes, least_words: int) -> Iterator[tuple[int, int, int, list[b
         at += size + 1
 
 
+def sentences(text: str, least_words: int = LEAST_SENTENCE) -> Iterator[tuple[int, int, int, int, int]]:
+    """First word, words, code points from and up to, and key of each sentence that has enough words."""
+    at = word = 0
+    for stop in chain(STOPS.finditer(text), [None]):
+        end = len(text) if stop is None else stop.start()
+        if end > at:
+            tokens = words(text[at:end].encode())
+            if len(tokens) >= least_words:
+                yield word, len(tokens), at, end, key_of(tokens)
+            word += len(tokens)
+        at = end if stop is None else stop.end()
+
+
 def key_of(tokens: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(tokens)) - 2**63
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = (set(shingles(t.split(b" "))) for t in (a, b))
-    return len(x & y) / len(x | y)
-
+def links(members: list[tuple[int, int, bytes]], first: int, second: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join what is similar among members (key, block, words): those of one block with one another
+    if first is second, else those of the first with those of the second. What's joined already isn't compared again."""
+    sets = [(k, b, set(shingles(t.split(b" ")))) for k, b, t in sorted(members)]
+    head = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    out = []
+    left = [i for i, x in enumerate(sets) if x[1] == first]
+    right = [i for i, x in enumerate(sets) if x[1] == second]
+    for i in left:
+        key, _, x = sets[i]
+        for j in right:
+            other, _, y = sets[j]
+            if (first == second and j <= i) or min(len(x), len(y)) < similarity * max(len(x), len(y)) or find(i) == find(j):
+                continue
+            both = len(x & y)
+            if both >= similarity * (len(x) + len(y) - both):
+                head[find(j)] = find(i)
+                out.append((key, other))
+    return out
+
+
+def _read(rows: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, n (a number of the row), paragraphs, sentences: read once, and kept in the shared folder."""
 
-def _paragraphs(rows: DataFrame, least_words: int) -> DataFrame:
     def make() -> Callable[..., tuple]:
-        names = ("pos", "start", "end", "n_words", "key", "bands")
+        lined = ("pos", "start", "end", "n_words", "key", "bands")
+        parted = ("first_word", "n_words", "start", "end", "key")
 
         def row(i: int, text: bytes) -> tuple:
-            return i, [dict(zip(names, (p, a, b, len(t), key_of(t), bands(t)), strict=True)) for p, a, b, t in lines(text, least_words)]
+            long = [dict(zip(lined, (p, a, b, len(t), key_of(t), bands(t)), strict=True)) for p, a, b, t in lines(text, least_words)]
+            return i, long, [dict(zip(parted, x, strict=True)) for x in sentences(text.decode())]
 
         return row
 
-    return map_rows(rows, make, f"doc_id long, found {PARAGRAPHS}")
+    found = map_rows(rows, make, f"doc_id long, paragraphs {PARAGRAPHS}, sentences {SENTENCES}").withColumn("n", F.monotonically_increasing_id())
+    path = f"{shared_folder(rows.sparkSession)}/passages-{uuid.uuid4()}"
+    found.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """key -> its words, read again at its first occurrence (doc_id, pos) only."""
-    places = wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    met = rows.join(places.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("text", "places")
+    places = cut(wanted.groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("pos").alias("places")))
+    if places.count() <= MOST_IDS:
+        places = F.broadcast(places)
+    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col("own"))).select("text", "places")
 
     def make() -> Callable[..., tuple]:
         def row(text: bytes, places: list[int]) -> tuple:
@@ -94,71 +155,92 @@ def _texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
         return row
 
     found = map_rows(met, make, "found array<struct<key: long, words: binary>>").select(F.explode("found").alias("x")).select("x.key", "x.words")
+    # Rows with one doc_id may have other paragraphs there.
     return found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("words").alias("words"))
 
 
 def _dealt(df: DataFrame, col: str) -> DataFrame:
     """A second key: a join by both deals out both sides anew, and the adaptive planner can split a hot key."""
-    return df.withColumn("h", F.xxhash64(col))
+    return df.withColumn("h", F.pmod(F.col(col), F.lit(4)).cast("byte"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose shingles are similar enough."""
-    pairs = _dealt(pairs, "a").join(_dealt(texts.select(F.col("key").alias("a"), F.col("words").alias("x")), "a"), ["a", "h"]).drop("h")
-    pairs = _dealt(pairs, "b").join(_dealt(texts.select(F.col("key").alias("b"), F.col("words").alias("y")), "b"), ["b", "h"]).drop("h")
+def _classes(first: DataFrame, rows: DataFrame, similarity: float, least_words: int) -> DataFrame:
+    """Distinct paragraphs (key, doc_id, pos, bands) -> key, component, where a component has several.
+
+    Paragraphs that share buckets, straight or by others, are a class, and only within one can two be similar. A class
+    is compared in blocks: a task has the members of two blocks, however large the class is, makes no row for a
+    pair, and returns fewer links than it has members.
+    """
+    banded = first.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
+    ends = banded.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("bucket", "low")
+    shared = _dealt(banded, "bucket").join(_dealt(ends, "bucket"), ["bucket", "h"]).select("key", "low").distinct()
+    classes = cut(components(shared.select(F.col("key").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "key", "component": "class"}))
+    wanted = first.join(classes, "key").select("key", "doc_id", "pos")
+    blocks = classes.groupBy("class").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    members = _dealt(classes, "class").join(_dealt(blocks, "class"), ["class", "h"]).join(_texts(rows, wanted, least_words), "key")
+    members = members.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = members.groupBy("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = pairs.agg(F.collect_list(F.struct("key", "block", "words")).alias("members")).where("size(members) > 1")
 
     def make() -> Callable[..., tuple]:
-        return lambda a, b, x, y: (a, b, jaccard(x, y))
+        names = ("a", "b")
 
-    return map_rows(pairs.select("a", "b", "x", "y"), make, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+        def row(i: int, j: int, own: list[dict]) -> tuple:
+            found = links([(m["key"], m["block"], m["words"]) for m in own], i, j, similarity)
+            return ([dict(zip(names, x, strict=True)) for x in found],)
 
+        return row
 
-def _classes(first: DataFrame, rows: DataFrame, similarity: float, least_words: int) -> DataFrame:
-    """Distinct paragraphs (key, doc_id, pos, bands) -> key, component, where a component has several.
+    found = map_rows(pairs.select("i", "j", "members"), make, "links array<struct<a: long, b: long>>").select(F.explode("links").alias("x")).select("x.*")
+    return components(found).select(F.col("node").alias("key"), "component")
 
-    Every member of a bucket is held against the bucket's least and greatest key, so that a large group of near
-    copies takes two pairs a member and band. Members of one bucket that this leaves in different components are
-    then held against one another.
-    """
-    banded = first.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
-    ends = banded.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    shared = cut(_dealt(banded, "bucket").join(_dealt(ends, "bucket"), ["bucket", "h"]).select("bucket", "key", "low", "high"))
-    wanted = first.join(shared.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "pos")
-    texts = cut(_texts(rows, wanted, least_words))
-    pair = lambda other: shared.where(F.col("key") != F.col(other)).select(F.least("key", other).alias("a"), F.greatest("key", other).alias("b"))
-    tried = pair("low").unionByName(pair("high")).distinct()
-    links = cut(_verified(tried, texts, similarity).select("a", "b"))
-    one = cut(components(links))
-    label = F.coalesce("component", "key").alias("label")
-    labelled = cut(shared.select("bucket", "key").join(one.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", label))
-    other = labelled.select("bucket", F.col("key").alias("b"), F.col("label").alias("other"))
-    rest = labelled.join(other, "bucket").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")))
-    rest = rest.select(F.col("key").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(rest, texts, similarity).select("a", "b")
-    return components(links.unionByName(more)).select(F.col("node").alias("key"), "component")
 
+OUT = ("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "unit")
 
-def repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS
-) -> DataFrame:
-    """doc_id, pos, start, end, n_words, component, kept_doc_id, kept_pos: a row for each paragraph to remove.
 
-    A paragraph is a line of least_words or more words; start and end are its code points. Of each component the
-    first occurrence by doc_id (null first) and line stays, and the others name it. Words count without case and
-    punctuation; shingles have five words. Null and empty texts have no paragraphs; repeated rows of one doc_id have
-    the same place, so that one of them stays and the rest go; no rows give no rows. Other columns aren't read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    found = _paragraphs(rows, least_words).select("doc_id", F.explode("found").alias("p")).select("doc_id", "p.*")
-    # Rows of one doc_id are told apart by a number, which only settles which of equal places stays.
-    found = cut(found.withColumn("n", F.monotonically_increasing_id()))
-    place = F.struct("doc_id", "pos", "n")
+def _paragraphs(read: DataFrame, rows: DataFrame, similarity: float, least_words: int) -> DataFrame:
+    """Paragraphs of which an equal or similar one comes earlier."""
+    found = read.select("doc_id", "n", F.explode("paragraphs").alias("p")).select("doc_id", "n", "p.*")
+    place = F.struct("doc_id", "pos", "n", "start")
     first = found.groupBy("key").agg(F.min(place).alias("at"), F.min("bands").alias("bands")).select("key", "at.doc_id", "at.pos", "bands")
     classes = cut(_classes(cut(first), rows, similarity, least_words))
     component = F.coalesce("component", "key").alias("component")
-    all_ = _dealt(found.drop("bands"), "key").join(_dealt(classes, "key"), ["key", "h"], "left").drop("h").select("doc_id", "pos", "n", "start", "end", "n_words", component)
+    all_ = _dealt(found.drop("bands"), "key").join(_dealt(classes, "key"), ["key", "h"], "left").drop("h")
+    all_ = cut(all_.select("doc_id", "pos", "n", "start", "end", "n_words", component))
     heads = all_.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    met = _dealt(all_, "component").join(_dealt(heads, "component"), ["component", "h"])
-    gone = met.where("n != kept.n")
-    return gone.select("doc_id", "pos", "start", "end", "n_words", "component", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.pos").alias("kept_pos"))
+    gone = _dealt(all_, "component").join(_dealt(heads, "component"), ["component", "h"]).where("n != kept.n OR pos != kept.pos")
+    return gone.select("doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.lit("paragraph").alias("unit"))
+
+
+def _passages(read: DataFrame, least_passage: int) -> DataFrame:
+    """Stretches of sentences each of which comes earlier in another document."""
+    found = read.select("doc_id", "n", F.explode("sentences").alias("s")).select("doc_id", "n", "s.*")
+    heads = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.max("doc_id").alias("last")).where("NOT last <=> kept.doc_id").select("key", "kept")
+    # Most sentences occur once. A hot one is split by the planner; what's left is dealt out by document.
+    later = _dealt(found, "key").join(_dealt(heads, "key"), ["key", "h"]).where("NOT doc_id <=> kept.doc_id")
+    later = later.select("doc_id", "n", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "start", "end", "kept")
+    order = Window.partitionBy("n").orderBy("first_word")
+    new = F.coalesce((F.col("first_word") - F.lag("end_word").over(order) > GAP).cast("int"), F.lit(1))
+    runs = later.withColumn("new", new).withColumn("run", F.sum("new").over(order)).groupBy("n", "run").agg(
+        F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("a"), F.max("end_word").alias("b"),
+        F.min(F.struct("first_word", "kept")).alias("at"),
+    )
+    runs = runs.withColumn("n_words", F.col("b") - F.col("a")).where(F.col("n_words") >= least_passage)
+    return runs.select("doc_id", "start", "end", "n_words", F.col("at.kept.doc_id").alias("kept_doc_id"), F.col("at.kept.start").alias("kept_start"), F.lit("passage").alias("unit"))
+
 
+def repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE
+) -> DataFrame:
+    """doc_id, start, end, n_words, kept_doc_id, kept_start, unit: a row for each stretch of text to remove.
+
+    unit paragraph: a line of least_words or more words, of whose component another occurrence comes first, by doc_id
+    (null first) and line; unit passage: sentences together of least_passage or more words, with short ones between
+    them, each of which occurs in a document of smaller doc_id. Stretches of the two units may overlap; what goes is their
+    union. start and end are code points; the kept one is that of the first sentence. Words count without case and
+    punctuation; shingles have five words. Null and empty texts have none; of the paragraphs of rows with one doc_id
+    one is kept; no rows give no rows. Other columns aren't read.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
+    read = _read(rows, least_words)
+    return _paragraphs(read, rows, similarity, least_words).unionByName(_passages(read, least_passage)).select(*OUT)
