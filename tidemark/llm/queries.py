@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, decontaminate, licenses, paragraphs, pii, quality, simhash, topk, urls
 from tidemark.llm.common import table
+from tidemark.llm.oracles import SQL
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,20 +114,4 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-#: Conversations as lists of turns; what another one begins with goes.
-CHAT = """
-WITH c AS (
-    SELECT conv_id, list(DISTINCT {'turn': turn, 'role': role, 'text': text}) AS l FROM conversations GROUP BY conv_id
-), o AS (
-    SELECT conv_id, list_sort(l) AS l, list_transform(list_sort(l), lambda t: {'role': t.role, 'text': t.text}) AS k FROM c
-), p AS (
-    SELECT DISTINCT list_slice(k, 1, i) AS k FROM (SELECT k, unnest(range(1, len(k))) AS i FROM o)
-), h AS (
-    SELECT min(conv_id) AS conv_id, count(*) AS n_copies, k FROM o GROUP BY k
-)
-SELECT conv_id, CAST(len(k) AS BIGINT) AS n_turns, n_copies,
-       array_to_string(list_transform(k, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), '') AS text
-FROM h WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = h.k)
-"""
-
-SQL: dict[str, str] = {"op4_chat_format": CHAT, "op8_top_k": TOP_K}
+__all__ = ["QUERIES", "SQL"]
