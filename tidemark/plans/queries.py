@@ -366,7 +366,11 @@ def user_defined_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Key groups.
 
 
-@query(None)
+FNV = """CAST(list_reduce(list_concat([CAST(14695981039346656037 AS HUGEINT), length(k), 0, 0, 0], list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS HUGEINT))),
+    lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) % 128 AS INTEGER)"""
+
+
+@query(f"WITH {EV} SELECT k, {FNV} AS key_group FROM (SELECT DISTINCT k FROM ev)")
 def key_group_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev(spark, sf_dir).select("k").distinct().select("k", keygroups.group_of(F.col("k")).alias("key_group"))
 
@@ -384,7 +388,7 @@ def key_group_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "parallelism int, subtask int, first_group int, end_group int")
 
 
-@query(None)
+@query(f"WITH {EV}, g AS (SELECT {FNV} AS g FROM ev) SELECT CAST(g * 4 // 128 AS INTEGER) AS subtask, CAST(count(*) AS BIGINT) AS n_rows FROM g GROUP BY g * 4 // 128")
 def subtask_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each of four subtasks gets."""
     counts = ev(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"))
