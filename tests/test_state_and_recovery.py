@@ -42,11 +42,11 @@ def test_key_groups(spark):
 def test_scans_over_several_buckets(spark):
     values = [(i * 37) % 101 for i in range(101)]
     rows = vector(spark, [(v,) for v in values], "value long")
-    got = max_before(rows, "seq", F.col("value"), "m").orderBy("seq").collect()
+    got = max_before(rows, "seq", {"m": F.col("value")}, 7).orderBy("seq").collect()
     assert [r.m for r in got] == [max(values[:i], default=None) for i in range(101)]
     assert [r.value for r in numbered(rows, ["value"], "n").orderBy("n").collect()] == sorted(values)
     wanted = spark.createDataFrame([(x,) for x in (-5, 0, 33, 50, 99, 100, 101)], "x long")
-    met = next_at_least(wanted, "x", rows.where("value % 10 = 0"), "value", "value", "y")
+    met = next_at_least(wanted, "x", rows.where("value % 10 = 0"), "value", "value", "y", 13)
     assert {r.x: r.y for r in met.collect()} == {-5: 0, 0: 0, 33: 40, 50: 50, 99: 100, 100: 100, 101: None}
 
 

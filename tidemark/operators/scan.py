@@ -1,7 +1,7 @@
 """Running values over an order of all rows, without all rows in one task.
 
-Rows go to buckets by quantiles of the order's first column. Windows run within buckets, and what comes before
-(or behind) a bucket is added from a table of one row a bucket.
+Rows go to buckets along the order's first column. Windows run within buckets, and what comes before (or behind) a
+bucket is added from a table of one row a bucket.
 """
 
 from __future__ import annotations
@@ -9,12 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most buckets of a scan.
+#: Buckets of a scan by quantiles, at most.
 BUCKETS = 64
 
+#: Width of the buckets of a scan by arrival number: so many rows a task.
+ROWS = 1_000_000
 
-def bucketed(df: DataFrame, col: str) -> DataFrame:
+#: Width of the buckets of a scan by watermark: an hour. Watermarks differ by a millisecond at least.
+SPAN_MS = 3_600_000
+
+
+def by_width(df: DataFrame, col: str, width: int) -> DataFrame:
     """Adds _bucket: grows with col, and equal values share one. Null values come first, as in an ascending order."""
+    return df.withColumn("_bucket", F.coalesce(F.floor(F.col(col) / width), F.lit(-(2**62))))
+
+
+def by_quantiles(df: DataFrame, col: str) -> DataFrame:
+    """As by_width, for values of unknown spread; takes a pass of its own."""
     wanted = min(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(df.approxQuantile(col, [i / wanted for i in range(1, wanted)], 0.01))) if wanted > 1 else []
     bucket = F.lit(0)
@@ -25,7 +36,7 @@ def bucketed(df: DataFrame, col: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the row's number from 0 in the order given."""
-    rows = bucketed(df, order[0])
+    rows = by_quantiles(df, order[0])
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a bucket
@@ -33,18 +44,18 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.withColumn("_i", inside).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.col("_i") - 1).drop("_bucket", "_i", "_start")
 
 
-def max_before(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
-    """Adds the largest value of the rows before this one; null for the first."""
-    rows = bucketed(df, order).withColumn("_v", value)
-    tops = rows.groupBy("_bucket").agg(F.max("_v").alias("_top"))
+def max_before(df: DataFrame, order: str, values: dict[str, Column], width: int = ROWS) -> DataFrame:
+    """Adds, under each name, the largest value of the rows before this one; null for the first."""
+    rows = by_width(df, order, width).withColumns({f"_v_{n}": v for n, v in values.items()})
+    tops = rows.groupBy("_bucket").agg(*(F.max(f"_v_{n}").alias(f"_t_{n}") for n in values))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(F.col("_bucket"), F.max("_top").over(before).alias("_before"))  # a row a bucket
-    inside = F.max("_v").over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_inside", inside).join(F.broadcast(tops), "_bucket")
-    return rows.withColumn(name, F.greatest("_inside", "_before")).drop("_bucket", "_v", "_inside", "_before")
+    tops = tops.select("_bucket", *(F.max(f"_t_{n}").over(before).alias(f"_b_{n}") for n in values))  # a row a bucket
+    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_i_{n}": F.max(f"_v_{n}").over(inside) for n in values}).join(F.broadcast(tops), "_bucket")
+    return rows.select(*df.columns, *(F.greatest(f"_i_{n}", f"_b_{n}").alias(n) for n in values))
 
 
-def next_at_least(left: DataFrame, key: str, right: DataFrame, right_key: str, payload: str, name: str) -> DataFrame:
+def next_at_least(left: DataFrame, key: str, right: DataFrame, right_key: str, payload: str, name: str, width: int) -> DataFrame:
     """Adds to left the payload of the right row with the smallest key not below left's; null if there's none.
 
     Payloads have to grow with their keys, so that the smallest payload is that of the smallest key.
@@ -52,7 +63,7 @@ def next_at_least(left: DataFrame, key: str, right: DataFrame, right_key: str, p
     cols = left.columns
     rows = left.select(F.col(key).alias("_key"), F.lit(None).cast("bigint").alias("_p"), F.struct(*cols).alias("_row"))
     given = right.select(F.col(right_key).cast("bigint").alias("_key"), F.col(payload).cast("bigint").alias("_p"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
-    both = bucketed(rows.unionByName(given), "_key")
+    both = by_width(rows.unionByName(given), "_key", width)
     lows = both.groupBy("_bucket").agg(F.min("_p").alias("_low"))
     behind = Window.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     lows = lows.select(F.col("_bucket"), F.min("_low").over(behind).alias("_behind"))  # a row a bucket

@@ -10,7 +10,7 @@ from tidemark.operators.scan import max_before
 
 def exact(rows: DataFrame, bound_ms: int) -> DataFrame:
     """Adds wm_before (null for the first row), wm_after and advance: event time so far, less the bound."""
-    rows = max_before(rows, "seq", F.col("event_ms"), "_max")
+    rows = max_before(rows, "seq", {"_max": F.col("event_ms")})
     rows = rows.withColumn("wm_before", F.col("_max") - bound_ms).withColumn("wm_after", F.greatest("_max", "event_ms") - bound_ms).drop("_max")
     return rows.withColumn("advance", F.col("wm_before").isNull() | (F.col("wm_after") > F.col("wm_before")))
 
@@ -20,10 +20,8 @@ def min_across(rows: DataFrame, channel: str, channels: int, wm: str = "wm_ms")
 
     Each channel's own watermark never goes back. Until every channel has been heard there's no merged one.
     """
-    merged = None
-    for c in range(channels):
-        own = F.when(F.col(channel) == c, F.col(wm))
-        rows = max_before(rows, "seq", own, f"_b{c}").withColumn(f"_c{c}", F.greatest(f"_b{c}", own))
+    own = {c: F.when(F.col(channel) == c, F.col(wm)) for c in range(channels)}
+    rows = max_before(rows, "seq", {f"_b{c}": v for c, v in own.items()}).withColumns({f"_c{c}": F.greatest(f"_b{c}", v) for c, v in own.items()})
     now, before = ([F.col(f"_{x}{c}") for c in range(channels)] for x in "cb")
     merged = lambda cs: F.when(~F.exists(F.array(*cs), lambda x: x.isNull()), F.array_min(F.array(*cs)))
     rows = rows.withColumn("merged", merged(now)).withColumn("_last", merged(before))

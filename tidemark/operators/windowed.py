@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import watermarks
-from tidemark.operators.scan import next_at_least
+from tidemark.operators.scan import ROWS, SPAN_MS, next_at_least
 from tidemark.operators.windows import Sliding, Tumbling, assign
 
 
@@ -53,10 +53,10 @@ class Windowed:
         moves = marked.where("advance").select("seq", "wm_after")
         rows = assign(marked, self.windows).where(self._live())
         ends = rows.select("window_end_ms").distinct()
-        reached = next_at_least(ends, "window_end_ms", moves, "wm_after", "seq", "reached")
+        reached = next_at_least(ends, "window_end_ms", moves, "wm_after", "seq", "reached", SPAN_MS)
         rows = rows.join(reached, "window_end_ms").withColumn("due", F.greatest("seq", "reached"))
         open_ = rows.where("reached IS NULL").withColumn("fire_seq", F.lit(None).cast("bigint"))
-        due = next_at_least(rows.where("reached IS NOT NULL"), "due", moves.withColumnRenamed("seq", "move"), "move", "move", "fire_seq")
+        due = next_at_least(rows.where("reached IS NOT NULL"), "due", moves.withColumnRenamed("seq", "move"), "move", "move", "fire_seq", ROWS)
         return due.unionByName(open_).drop("reached", "due", "wm_before", "wm_after", "advance")
 
     def emissions(self, value: str = "value") -> DataFrame:
