@@ -126,13 +126,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = cut(clusters(distinct, max_bits).join(distinct, "fp"))
     heads = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = found.select("fp", "component").join(heads, "component").select("fp", "component_id")
-    # A fingerprint may be a third of all rows: the second key lets the planner split it.
-    return (
-        prints.withColumn("h", F.xxhash64("fp"))
-        .join(named.withColumn("h", F.xxhash64("fp")), ["fp", "h"])
-        .select("doc_id", "fp", "component_id")
-    )
+    # A component may have very many fingerprints, and a fingerprint a third of all rows: a second key makes both
+    # sides be dealt out anew, so that the planner can split either.
+    named = found.withColumn("h", F.xxhash64("component")).join(heads.withColumn("h", F.xxhash64("component")), ["component", "h"])
+    named = named.select("fp", "component_id").withColumn("h", F.xxhash64("fp"))
+    return prints.withColumn("h", F.xxhash64("fp")).join(named, ["fp", "h"]).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
