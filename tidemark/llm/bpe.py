@@ -26,7 +26,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 SPACES = regex.compile(f"[{SPACE}]")
 
 #: Words, and stretches from space to space, whose encoding a worker remembers; beyond, it forgets all and goes on.
-MEMORY = 400_000
+MEMORY = 250_000
 
 #: Bytes of a word up to which looking for the best merge again and again is quicker than a heap.
 SHORT = 24
