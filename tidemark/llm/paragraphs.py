@@ -26,7 +26,7 @@ from tidemark.llm.components import components
 WIDTH, SIMILARITY, LEAST_WORDS = 5, 0.8, 40
 
 #: Words that a sentence needs to count, that a passage of them needs, and that may part two of its sentences.
-LEAST_SENTENCE, LEAST_PASSAGE, GAP = 6, 45, 10
+LEAST_SENTENCE, LEAST_PASSAGE, GAP = 6, 40, 10
 
 #: Sentences are parted by what's in them alone: stops, line ends, and before a capital.
 STOPS = re.compile(r"[.!?\n]+|\s(?=[A-ZÀ-ÖØ-Þ])")
