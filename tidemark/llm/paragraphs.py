@@ -5,21 +5,26 @@ similarity of word shingles verifies them, and of each connected component all b
 
 A passage may also stand within a longer line. Its sentences are too short to differ and still be similar, so for them
 one band, of all words, is enough: stretches of sentences that occur earlier go where they're long enough together.
+
+Nor need a passage begin and end with a sentence. Hashes of a few words, winnowed by their content alone, tell where
+two texts may have a stretch in common; there every window of that width is compared, and stretches of windows that
+occur earlier go where they make a long one.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, cut, map_rows, shared_folder, utf8, words
+from tidemark.llm.common import MOST_IDS, WORD_BYTES, cut, map_rows, release, shared_folder, utf8, words
 from tidemark.llm.components import components
 
 #: Words of a shingle, least similarity, words that a line needs to count.
@@ -31,6 +36,22 @@ LEAST_SENTENCE, LEAST_PASSAGE, GAP = 6, 40, 10
 #: Sentences are parted by what's in them alone: stops, line ends, and before a capital.
 STOPS = re.compile(r"[.!?\n]+|\s(?=[A-ZÀ-ÖØ-Þ])")
 
+#: Words of a window, and windows in a row of which the one with the least hash is a mark: a run of 25 equal words has
+#: one, so a passage of 51 words with one changed has one as well.
+WINDOW, EVERY = 10, 16
+
+#: Words on either side of a mark whose windows are compared: what such a passage has beyond its mark.
+AROUND = 42
+
+#: Words whose hash a worker remembers.
+MEMORY = 250_000
+
+#: A place is a row's rank and a word of its text: 2^32 rows, and texts as long as a string can be.
+WORD = 31
+
+#: Of a mark's hash; two that are alike by chance only make windows be compared that needn't be.
+MARK = np.uint64((1 << 40) - 1)
+
 #: At a similarity of 0.8 a pair shares one of these bands with a probability of 0.9992, at 0.3 of 0.24.
 BANDS, ROWS = 10, 3
 
@@ -93,6 +114,98 @@ def key_of(tokens: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(tokens)) - 2**63
 
 
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_known = _Known()
+
+
+def grams(tokens: list[bytes], width: int = WINDOW) -> np.ndarray:
+    """A hash of each window of words; fewer words than a window's have none."""
+    if len(tokens) < width:
+        return np.empty(0, dtype=np.uint64)
+    if len(_known) > MEMORY:
+        _known.clear()
+    own = np.fromiter(map(_known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    n = len(own) - width + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + own[i : i + n]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def marks(hashes: np.ndarray, every: int = EVERY) -> np.ndarray:
+    """Of all runs of so many windows the first one with the least hash."""
+    if len(hashes) < every:
+        return np.empty(0, dtype=np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, every).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
+
+
+def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Code points from and up to of each word."""
+    inside = np.frombuffer(text.translate(WORD_BYTES), dtype=np.uint8) != 0x20
+    edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if text.isascii():
+        return starts, ends
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
+    return before[starts], before[ends]
+
+
+def joined(places: list[int], reach: int) -> list[tuple[int, int]]:
+    """Ranges of what's at most so far from a place, each before the next."""
+    out: list[list[int]] = []
+    for p in sorted(places):
+        if out and p - reach <= out[-1][1]:
+            out[-1][1] = p + reach
+        else:
+            out.append([max(0, p - reach), p + reach])
+    return [(a, b) for a, b in out]
+
+
+def stretches(found: list[tuple[int, int]], least: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """Windows (word, kept place) that occur earlier -> first word, end word, kept place of the first, of each run with
+    least or more words of which such windows cover the share that similarity says, parted by GAP words at most."""
+    parts: list[list[int]] = []
+    for word, kept in sorted(found):
+        if parts and word <= parts[-1][1]:
+            parts[-1][1] = word + WINDOW
+        else:
+            parts.append([word, word + WINDOW, kept])
+    out: list[list[int]] = []
+    for a, b, kept in parts:
+        if out and a - out[-1][1] <= GAP and out[-1][3] + b - a >= similarity * (b - out[-1][0]):
+            out[-1][1], out[-1][3] = b, out[-1][3] + b - a
+        else:
+            out.append([a, b, kept, b - a])
+    return [(a, b, kept) for a, b, kept, _ in out if b - a >= least]
+
+
+def by_lines(text: bytes) -> Callable[[int, int], list[tuple[int, int, int, int]]]:
+    """A function of words first and end that gives what each line has of them: code points from and up to, words, and
+    words of the whole line."""
+    starts, ends = (x.tolist() for x in spans(text))
+    counts = [len(words(line)) for line in text.split(b"\n")]
+    before = list(accumulate(counts, initial=0))
+
+    def cuts(first: int, end: int) -> list[tuple[int, int, int, int]]:
+        out, k = [], bisect_right(before, first) - 1
+        while k < len(counts) and before[k] < end:
+            a, b = max(first, before[k]), min(end, before[k + 1])
+            if a < b:
+                out.append((starts[a], ends[b - 1], b - a, counts[k]))
+            k += 1
+        return out
+
+    return cuts
+
+
 def links(members: list[tuple[int, int, bytes]], first: int, second: int, similarity: float) -> list[tuple[int, int]]:
     """Links (a, b) that join what is similar among members (key, block, words): those of one block with one another
     if first is second, else those of the first with those of the second. What's joined already isn't compared again."""
@@ -122,19 +235,24 @@ def links(members: list[tuple[int, int, bytes]], first: int, second: int, simila
 
 
 def _read(rows: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, n (a number of the row), paragraphs, sentences: read once, and kept in the shared folder."""
+    """doc_id, n (a number of the row), same (its text's hash), size (its words), marks (word, key), paragraphs,
+    sentences: read once, and kept in the shared folder."""
 
     def make() -> Callable[..., tuple]:
         lined = ("pos", "start", "end", "n_words", "key", "bands")
         parted = ("first_word", "n_words", "start", "end", "key")
 
-        def row(i: int, text: bytes) -> tuple:
+        def row(i: int, text: bytes, same: int) -> tuple:
+            tokens = words(text)
+            hashes = grams(tokens)
+            at = marks(hashes)
             long = [dict(zip(lined, (p, a, b, len(t), key_of(t), bands(t)), strict=True)) for p, a, b, t in lines(text, least_words)]
-            return i, long, [dict(zip(parted, x, strict=True)) for x in sentences(text.decode())]
+            return i, same, len(tokens), at.astype(np.int32), (hashes[at] & MARK).view(np.int64), long, [dict(zip(parted, x, strict=True)) for x in sentences(text.decode())]
 
         return row
 
-    found = map_rows(rows, make, f"doc_id long, paragraphs {PARAGRAPHS}, sentences {SENTENCES}").withColumn("n", F.monotonically_increasing_id())
+    schema = f"doc_id long, same long, size int, marks array<int>, keys array<long>, paragraphs {PARAGRAPHS}, sentences {SENTENCES}"
+    found = map_rows(rows.select("doc_id", "text", F.xxhash64("text")), make, schema).withColumn("n", F.monotonically_increasing_id())
     path = f"{shared_folder(rows.sparkSession)}/passages-{uuid.uuid4()}"
     found.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
@@ -201,7 +319,7 @@ OUT = ("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "unit")
 def _paragraphs(read: DataFrame, rows: DataFrame, similarity: float, least_words: int) -> DataFrame:
     """Paragraphs of which an equal or similar one comes earlier."""
     found = read.select("doc_id", "n", F.explode("paragraphs").alias("p")).select("doc_id", "n", "p.*")
-    place = F.struct("doc_id", "pos", "n", "start")
+    place = F.struct("doc_id", "n", "pos", "start")
     first = found.groupBy("key").agg(F.min(place).alias("at"), F.min("bands").alias("bands")).select("key", "at.doc_id", "at.pos", "bands")
     classes = cut(_classes(cut(first), rows, similarity, least_words))
     component = F.coalesce("component", "key").alias("component")
@@ -229,6 +347,116 @@ def _passages(read: DataFrame, least_passage: int) -> DataFrame:
     return runs.select("doc_id", "start", "end", "n_words", F.col("at.kept.doc_id").alias("kept_doc_id"), F.col("at.kept.start").alias("kept_start"), F.lit("passage").alias("unit"))
 
 
+def _ranked(read: DataFrame) -> DataFrame:
+    """doc_id, same, size, rank: rows numbered by doc_id (null first) and n."""
+    bits = 33  # of a number within a partition
+    rows = read.select("doc_id", "n", "same", "size").repartitionByRange("doc_id", "n").sortWithinPartitions("doc_id", "n")
+    rows = cut(rows.withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", bits).alias("part")
+    before, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):
+        offsets.append((p, before))
+        before += n
+    offset = rows.sparkSession.createDataFrame(offsets, "part long, before long")
+    rank = F.col("before") + F.col("m").bitwiseAND(F.lit((1 << bits) - 1))
+    return rows.withColumn("part", part).join(F.broadcast(offset), "part").select("doc_id", "same", "size", rank.alias("rank"))
+
+
+def _word(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit((1 << WORD) - 1)).cast("int").alias("word")
+
+
+def _met(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
+    """text and cols of wanted, at the rows with wanted's doc_id and same."""
+    wanted = cut(wanted.select(F.col("doc_id").alias("own"), F.col("same").alias("its"), *cols))
+    if wanted.count() <= MOST_IDS:
+        wanted = F.broadcast(wanted)
+    same = F.xxhash64("text")
+    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (same == F.col("its"))).select("text", *cols)
+
+
+def _stretches(read: DataFrame, rows: DataFrame, least_words: int, least_passage: int) -> DataFrame:
+    """Stretches of words each of which comes earlier, in any row; equal texts are one, and their copies go whole.
+
+    Equal runs of 25 words share a mark. Only around marks that occur again is there a row for each window.
+    """
+    ranked = cut(_ranked(read))
+    texts = ranked.groupBy("same").agg(F.min("rank").alias("rank"), F.count("*").alias("copies"))
+    firsts = cut(_dealt(ranked, "same").join(_dealt(texts, "same"), ["same", "h"]).where(ranked["rank"] == texts["rank"]).select("same", "doc_id", "size", texts["rank"], "copies"))
+
+    marked = read.select("same", F.explode(F.arrays_zip("marks", "keys")).alias("x")).select("same", F.col("x.marks").alias("word"), F.col("x.keys").alias("key"))
+    place = F.xxhash64("same", "word")
+    again = marked.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("key")
+    near = _dealt(marked, "key").join(_dealt(again, "key"), ["key", "h"]).groupBy("same").agg(F.collect_set("word").alias("words"))
+
+    def ranges() -> Callable[..., tuple]:
+        return lambda same, places: (same, [dict(zip(("a", "b"), x, strict=True)) for x in joined(places, AROUND)])
+
+    near = map_rows(near, ranges, "same long, ranges array<struct<a: int, b: int>>").join(firsts, "same")
+
+    def windows() -> Callable[..., tuple]:
+        def row(text: bytes, rank: int, ranges: list[dict]) -> tuple:
+            hashes = grams(words(text)).view(np.int64)
+            return rank, [{"a": r["a"], "keys": hashes[r["a"] : r["b"]]} for r in ranges]
+
+        return row
+
+    compared = map_rows(_met(rows, near, "rank", "ranges"), windows, "rank long, ranges array<struct<a: int, keys: array<long>>>")
+    compared = cut(compared)
+    del near, again, marked
+    release(rows.sparkSession)
+    compared = compared.select("rank", F.explode("ranges").alias("x")).select("rank", "x.a", F.posexplode("x.keys").alias("i", "key"))
+    compared = compared.select("key", F.shiftleft("rank", WORD).bitwiseOR((F.col("a") + F.col("i")).cast("long")).alias("place"))
+    kept = compared.groupBy("key").agg(F.min("place").alias("kept"), F.max("place").alias("last")).where("kept != last").select("key", "kept")
+    later = _dealt(compared, "key").join(_dealt(kept, "key"), ["key", "h"]).where("place != kept")
+    later = later.groupBy(F.shiftright("place", WORD).alias("rank")).agg(F.collect_set(F.struct(_word("place"), "kept")).alias("found"))
+
+    def runs() -> Callable[..., tuple]:
+        names = ("a", "b", "kept")
+
+        def row(rank: int, found: list[dict]) -> tuple:
+            return rank, [dict(zip(names, x, strict=True)) for x in stretches([(x["word"], x["kept"]) for x in found], least_passage)]
+
+        return row
+
+    found = map_rows(later, runs, "rank long, runs array<struct<a: int, b: int, kept: long>>")
+    found = cut(found.where("size(runs) > 0"))
+    # Where the kept ones start is read off their texts too.
+    asked = found.select(F.explode("runs.kept").alias("kept")).groupBy(F.shiftright("kept", WORD).alias("rank")).agg(F.collect_set(_word("kept")).alias("asked"))
+    whole = (F.col("copies") > 1) & (F.col("size") >= least_passage)
+    found = firsts.join(found, "rank", "left").join(asked, "rank", "left").withColumn("whole", whole).where("runs IS NOT NULL OR asked IS NOT NULL OR whole")
+
+    def cuts() -> Callable[..., tuple]:
+        names, at = ("start", "end", "n_words", "kept"), ("kept", "kept_start")
+
+        def row(text: bytes, its: int, rank: int, size: int, runs: list[dict] | None, asked: list[int] | None, whole: bool) -> tuple:
+            cut_up = by_lines(text)
+            own = [(a, b, n, r["kept"]) for r in runs or [] for a, b, n, _ in cut_up(r["a"], r["b"])]
+            # Copies' lines that are long enough are paragraphs.
+            copy = [(a, b, n, a) for a, b, n, line in cut_up(0, size) if line < least_words] if whole else []
+            starts = spans(text)[0] if asked else []
+            places = [dict(zip(at, (rank << WORD | w, int(starts[w])), strict=True)) for w in asked or []]
+            return its, rank, *([dict(zip(names, x, strict=True)) for x in xs] for xs in (own, copy)), places
+
+        return row
+
+    part = "array<struct<start: int, end: int, n_words: int, kept: long>>"
+    schema = f"same long, rank long, own {part}, copy {part}, places array<struct<kept: long, kept_start: int>>"
+    met = _met(rows, found.withColumn("text_", F.col("same")), "text_", "rank", "size", "runs", "asked", "whole")
+    # Rows of one doc_id and text give the same.
+    found = cut(map_rows(met, cuts, schema).dropDuplicates(["rank"]))
+    places = found.select(F.explode("places").alias("x")).select("x.*")
+    own = found.select("rank", F.explode("own").alias("x")).select("rank", "x.*")
+    own = _dealt(own, "kept").join(_dealt(places, "kept"), ["kept", "h"]).join(ranked.select("rank", "doc_id"), "rank")
+    own = own.select("doc_id", "start", "end", "n_words", F.shiftright("kept", WORD).alias("head"), "kept_start")
+    copies = _dealt(ranked.select("same", "doc_id", F.col("rank").alias("this")), "same").join(_dealt(found.where("size(copy) > 0").select("same", "rank", "copy"), "same"), ["same", "h"])
+    copies = copies.where("this != rank").select("doc_id", F.col("rank").alias("head"), F.explode("copy").alias("x"))
+    copies = copies.select("doc_id", "x.start", "x.end", "x.n_words", "head", F.col("x.start").alias("kept_start"))
+    heads = ranked.select(F.col("rank").alias("head"), F.col("doc_id").alias("kept_doc_id"))
+    gone = _dealt(own.unionByName(copies), "head").join(_dealt(heads, "head"), ["head", "h"])
+    return gone.select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", F.lit("stretch").alias("unit"))
+
+
 def repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE
 ) -> DataFrame:
@@ -236,11 +464,16 @@ def repeats(
 
     unit paragraph: a line of least_words or more words, of whose component another occurrence comes first, by doc_id
     (null first) and line; unit passage: sentences together of least_passage or more words, with short ones between
-    them, each of which occurs in a document of smaller doc_id. Stretches of the two units may overlap; what goes is their
-    union. start and end are code points; the kept one is that of the first sentence. Words count without case and
+    them, each of which occurs in a document of smaller doc_id; unit stretch: what a line has of least_passage or more
+    words, wherever they begin and end, of which windows of ten that occur earlier, be it in the same row, cover 0.8,
+    and the lines of a copied text that are no paragraphs. Stretches of the units may overlap; what goes is their union. start and end are code points; the kept one is that of the first sentence. Words count without case and
     punctuation; shingles have five words. Null and empty texts have none; of the paragraphs of rows with one doc_id
     one is kept; no rows give no rows. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     read = _read(rows, least_words)
-    return _paragraphs(read, rows, similarity, least_words).unionByName(_passages(read, least_passage)).select(*OUT)
+    found = cut(_stretches(read, rows, least_words, least_passage))
+    release(rows.sparkSession)
+    lines_ = cut(_paragraphs(read, rows, similarity, least_words))
+    release(rows.sparkSession)
+    return lines_.unionByName(_passages(read, least_passage)).unionByName(found).select(*OUT)
