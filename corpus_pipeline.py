@@ -24,21 +24,36 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, keep=("text", "lang", "source", "n_chars")).where(F.col("score") >= quality.THRESHOLD).select(COLUMNS)
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """Adds row, a hash of doc_id and text: an id alone may be null, or that of several texts."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id, and of its repeated rows one."""
-    found = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    kept = without(docs.select(COLUMNS), found.where("NOT doc_id <=> component_id"))
-    again = cut(found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """Of each component of near-duplicates the document with the smallest doc_id (null last), and of its repeated rows one."""
+    rows = by_row(docs.select(COLUMNS))
+    found = cut(simhash.near_duplicates(rows, id_col="row").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies")))
+    # Most components are one row, which stays without a join.
+    several = cut(among(found, found.where("row != component").select("component"), "component"))
+    ids = among(rows, several.select("row"), "row").select("row", "doc_id").distinct()
+    members = cut(several.join(ids, "row"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    heads = cut(members.groupBy("component").agg(least).select("component", F.col("least.row").alias("head")))
+    heads = heads.withColumn("h", F.xxhash64("component"))
+    gone = members.withColumn("h", F.xxhash64("component")).join(heads, ["component", "h"]).where("row != head").select("row")
+    kept = without(rows, gone, "row")
+    again = cut(found.where("copies > 1").select("row"))
     if again.isEmpty():
-        return kept
-    one = among(kept, again).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
-    return without(kept, again).unionByName(one)
+        return kept.select(COLUMNS)
+    one = among(kept, again, "row").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    return without(kept, again, "row").select(COLUMNS).unionByName(one)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents none of whose words is in a benchmark window."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs.select(COLUMNS), found.where("n_hit > 0"))
+    rows = by_row(docs.select(COLUMNS))
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row")
+    return without(rows, found.where("n_hit > 0").select(F.col("doc_id").alias("row")), "row").select(COLUMNS)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
