@@ -63,8 +63,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids, packed as little-endian unsigned 32-bit integers."""
-    return bpe.encode(docs, vocabulary()).select("doc_id", "n_tokens", "ids")
+    """doc_id, n_tokens, the token ids, packed as little-endian unsigned 32-bit integers, and the text decoded from them."""
+    return bpe.encode(docs, vocabulary(), decoded=True).select("doc_id", "n_tokens", "ids", "text")
 
 
 STAGES = [

@@ -34,3 +34,9 @@ def test_contaminated_rows_with_null_and_repeated_ids(spark):
     a, b, c = (made(60, k) for k in range(3))
     rows = [(None, a), (None, b), (None, f"{a} {item}"), (5, c), (5, f"{b} {item}")]
     assert kept(corpus_pipeline.decontaminated, spark, rows) == sorted([(None, a), (None, b), (5, c)], key=str)
+
+
+def test_tokens_decode_to_the_text(spark):
+    rows = [(1, "some words, ünd 😀 more  "), (None, ""), (2, "<EMAIL> x"), (2, "other")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.tokens(spark, docs, SMALL).collect()), key=str) == sorted(rows, key=str)

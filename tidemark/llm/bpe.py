@@ -246,12 +246,12 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit integers), a row for each row.
 
     path: a byte-level BPE file that every executor can open, as part of the installed tokenizers. Special tokens in a
     text are encoded as such and none are added. Null and empty texts have no ids; repeated rows stay repeated; other
-    columns aren't read.
+    columns aren't read. decoded: adds text as decode does, by the same worker, which so has the tables only once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +259,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             packed = own.encode_batch(batch.column(1).to_pylist())
             sizes = pa.array([len(x) // 4 for x in packed], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            cols = {"doc_id": batch.column(0), "n_tokens": sizes, "ids": pa.array(packed, pa.binary())}
+            if decoded:
+                cols["text"] = pa.array(map(own.decode, packed), pa.string())
+            yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
