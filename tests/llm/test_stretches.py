@@ -62,3 +62,15 @@ def test_all_windows_of_fifty_words_against_brute_force(spark):
             assert all(all(inside[k : k + 50]) for k in later), i
             tried += len(later)
     assert tried > 100
+
+
+def test_stretches_within_a_row_and_among_rows_without_id(spark):
+    twice, without_id = made(60, 4), made(60, 5)
+    rows = [
+        (1, " ".join([*made(50, 30), *twice, *made(50, 31), *twice, *made(50, 32)])),
+        (None, " ".join([*made(50, 33), *without_id, *made(50, 34)])),
+        (None, " ".join([*made(50, 35), *without_id, *made(50, 36)])),
+    ]
+    got = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.doc_id, r.n_words, r.kept_doc_id) for r in sorted(got, key=str)] == [(1, 60, 1), (None, 60, None)]
+    assert all(next(t for i, t in rows if i == r.doc_id)[r.start :].startswith((twice[0], without_id[0])) for r in got if r.doc_id)
