@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -66,14 +67,15 @@ def test_decontamination_in_one_pass_and_in_several(spark):
     assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
-def brute_paragraphs(texts):
+def brute_paragraphs(texts, least):
     found = []
     for i, t in sorted(texts.items()):
         start = 0
         for line in (t or "").split("\n"):
             w = words(line)
-            if len(w) >= paragraphs.LEAST_WORDS:
-                found.append((i, start, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+            if len(w) >= least:
+                n = min(5, len(w))
+                found.append((i, start, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}))
             start += len(line) + 1
     same = [{(i, p)} for i, p, _ in found]
     at = {f[:2]: k for k, f in enumerate(found)}
@@ -87,70 +89,83 @@ def brute_paragraphs(texts):
     return {(*place, *min(c)) for c in same for place in c if place != min(c)}
 
 
-def brute_passages(texts):
-    seen, out = {}, set()
-    for i, t in sorted(texts.items()):
-        word, run, own = 0, [], []
-        at = 0
-        parts = [(m.start(), m.end()) for m in re.finditer(r"[.!?\n]+|\s(?=[A-ZÀ-ÖØ-Þ])", t or "")] + [(len(t or ""),) * 2]
-        for a, b in parts:
-            w = words((t or "")[at:a])
-            if len(w) >= paragraphs.LEAST_SENTENCE:
-                own.append((word, word + len(w), at, a, " ".join(w)))
-            word, at = word + len(w), b
-        later = [s for s in own if s[4] in seen]
-        for s in [*later, None]:
-            if run and (s is None or s[0] - run[-1][1] > paragraphs.GAP):
-                if run[-1][1] - run[0][0] >= paragraphs.LEAST_PASSAGE:
-                    out.add((i, run[0][2], run[-1][3], *seen[run[0][4]]))
-                run = []
-            if s is not None:
-                run.append(s)
-        for s in own:
-            seen.setdefault(s[4], (i, s[2]))
-    return out
-
-
 def test_repeated_passages_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
     got = queries.op5_substring_dedup(spark, SMALL).collect()
-    assert {(r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in got if r.unit == "paragraph"} == brute_paragraphs(texts)
-    assert {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in got if r.unit == "passage"} == brute_passages(texts)
-    assert len(got) > 5
+    assert {(r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in got if r.unit == "paragraph"} == brute_paragraphs(texts, queries.REPEATED_WORDS)
+    first = {}
+    for i, t in sorted(texts.items()):
+        first.setdefault(t, i)
+    whole = {(i, 0, len(t), first[t]) for i, t in texts.items() if first[t] != i and len(words(t)) >= queries.REPEATED_WORDS}
+    assert {(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got if r.unit == "text"} == whole and whole
     for r in got:
-        part = texts[r.doc_id][r.start : r.end]
-        assert len(words(part)) == r.n_words and (r.unit == "passage" or "\n" not in part)
+        assert len(words(texts[r.doc_id][r.start : r.end])) == r.n_words
+
+
+def test_short_lines_are_found(spark):
+    """The operator itself takes any line of a shingle's words; its query has a parameter."""
+    texts = {r.doc_id: "\n".join((r.text or "").split("\n")[:2]) for r in table(spark, "documents").limit(80).collect()}
+    made = "one line of just these twelve words is found wherever it stands"
+    texts |= {1001: f"x y\n{made}\nz", 1002: f"{made.title()}!", 1003: made.replace("wherever", "anywhere")}
+    got = paragraphs.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in got if r.unit == "paragraph"} == brute_paragraphs(texts, paragraphs.LEAST_WORDS)
+    assert (1002, 0, 1001, 4) in {(r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in got}
 
 
 def test_repeated_passages_odd_rows(spark):
     w = [f"w{i}" for i in range(60)]
     near = " ".join([*w[:30], "changed", *w[31:]])
     far = " ".join(w[:20] + [f"v{i}" for i in range(40)])
-    text = " ".join(w)
-    inner = "Some passage of sentences that goes on for more than ten words. Then it has another sentence of rather many words. Short. And a third that makes it long enough to be a passage. At last the fourth one of them comes to its end here é."
-    rows = [(1, f"é\n{text}"), (2, text.upper() + "!\nshort"), (3, near), (4, far), (5, None), (6, ""), (7, text), (7, text), (None, text), (8, f"{text}\n{text}"), (9, f"before it {inner} after it"), (10, f"ÄÖ\nQuite {inner} elsewhere")]
+    text, long = " ".join(w), " ".join(f"l{i}" for i in range(60_000))
+    rows = [(1, f"é\n{text}"), (2, text.upper() + "!\nshort"), (3, near), (4, far), (5, None), (6, ""), (7, text), (7, text), (None, text), (8, f"{text}\n{text}"), (9, "ä b"), (10, "Ä b"), (11, long), (12, f"before {long}"), (13, "again " * 500), (14, " \n")]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, pos int").coalesce(1)
     got = paragraphs.repeats(docs).collect()
     lines = [(r.doc_id, r.start, r.kept_doc_id) for r in got if r.unit == "paragraph"]
-    assert sorted(map(str, lines)) == sorted(map(str, [(1, 2, None), (2, 0, None), (3, 0, None), (7, 0, None), (7, 0, None), (8, 0, None), (8, len(text) + 1, None), (10, 3, 9)]))
-    inside = {r.doc_id: rows[11][1][r.start : r.end] for r in got if r.unit == "passage" and r.doc_id == 10}
-    assert inside == {10: inner[:-1]}
-    assert {r.doc_id for r in got} == {1, 2, 3, 7, 8, 10}
+    assert sorted(map(str, lines)) == sorted(map(str, [(1, 2, None), (2, 0, None), (3, 0, None), (7, 0, None), (7, 0, None), (8, 0, None), (8, len(text) + 1, None), (12, 0, 11)]))
+    assert sorted((r.doc_id, r.start, r.end, r.n_words) for r in got if r.unit == "text") == [(7, 0, len(text), 60)] * 2
+    inside = {(r.doc_id, r.start, r.end) for r in got if r.unit == "stretch"}
+    assert {(12, 7, 7 + len(long)), (13, 6, 2999)} <= inside
+    assert {r.doc_id for r in got} == {1, 2, 3, 7, 8, 12, 13}
     assert paragraphs.repeats(docs.limit(0)).count() == 0
 
 
 def test_bands_recall():
     rng = np.random.default_rng(9)
     met = tried = 0
-    for _ in range(150):
-        w = [b"%d" % x for x in rng.integers(0, 10**6, 70)]
+    for _ in range(400):
+        w = [b"%d" % x for x in rng.integers(0, 10**6, 80)]
         v = [*w]
-        v[int(rng.integers(10, 60))] = b"new"
+        v[int(rng.integers(0, 80))] = b"new"
         a, b = (set(paragraphs.shingles(t)) for t in (w, v))
         if len(a & b) / len(a | b) >= 0.8:
             tried += 1
-            met += bool({*enumerate(paragraphs.bands(w))} & {*enumerate(paragraphs.bands(v))})
-    assert tried > 100 and met >= 0.99 * tried
+            x, y = (paragraphs.bands(paragraphs.hashed(t), np.array([0]), np.array([80]))[0] for t in (w, v))
+            met += bool((x == y).any())
+    assert tried > 300 and met >= 0.98 * tried
+
+
+def test_a_crowd_of_lines_in_one_bucket():
+    """More members than a block has, in pairs of blocks: what's similar is joined, and nothing else."""
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(30)] for _ in range(12)]
+    members = []
+    for k in range(60):
+        w = list(base[k % 12])
+        w[rng.choice((0, 29))] = f"n{k}"
+        members.append((k, k, k % 2, " ".join(w).encode()))
+    found = [x for i, j in ((0, 0), (0, 1), (1, 1)) for x in paragraphs.links([m for m in members if m[2] in (i, j)], i, j, 0.8)]
+    head = list(range(60))
+    for _ in range(60):
+        for a, b in found:
+            head[a] = head[b] = min(head[a], head[b])
+    sets = [set(paragraphs.shingles(m[3].split(b" "))) for m in members]
+    want = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(a):
+                if paragraphs.similar(sets[a], sets[b], 0.8):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert head == want and len(set(want)) < 60
 
 
 def test_pipeline_against_brute_force(spark):

@@ -74,3 +74,30 @@ def test_stretches_within_a_row_and_among_rows_without_id(spark):
     got = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert [(r.doc_id, r.n_words, r.kept_doc_id) for r in sorted(got, key=str)] == [(1, 60, 1), (None, 60, None)]
     assert all(next(t for i, t in rows if i == r.doc_id)[r.start :].startswith((twice[0], without_id[0])) for r in got if r.doc_id)
+
+
+def test_recall_of_planted_passages(spark):
+    """Passages of 51 to 80 words in other words, with and without stops and capitals, equal or with one word changed."""
+    rng, rows, want = random.Random(8), [], {}
+    for k in range(120):
+        own = made(rng.randint(51, 80), 1000 + k)
+        if k % 2:
+            own = [w.title() if i % 9 == 0 else w + "." * (i % 9 == 8) for i, w in enumerate(own)]
+        other = list(own)
+        if k % 4 > 1:
+            other[rng.randrange(len(other))] = "changed"
+        for i, passage in ((2 * k, own), (2 * k + 1, other)):
+            before = made(rng.randint(20, 90), 5000 + i)
+            rows.append((i, " ".join([*before, *passage, *made(rng.randint(20, 90), 9000 + i)])))
+            want[i] = (len(before), len(before) + len(passage))
+    got = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [0, 0]
+    for i, text in rows:
+        a, b = want[i]
+        inside = covered(got, text, i)
+        assert not any(inside[: a - 1]) and not any(inside[b + 1 :])
+        if i % 2:
+            found[i // 2 % 4 > 1] += sum(inside[a:b]) >= 0.8 * (b - a)
+        else:
+            assert not any(inside)
+    assert found[0] == 60 and found[1] >= 54

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ WORD_BYTES = bytes(
     for c in range(256)
 )
 
-#: Rows of one Arrow batch; texts can be long, so a batch stays small.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch at most; a row that is longer is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +44,15 @@ def utf8(col: Column) -> Column:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows, which Python gets in Arrow batches of bounded size."""
+    """The same rows, which Python gets in Arrow batches of bounded size.
+
+    Batches are cut when the query runs, so the bounds are settings of the session; they are only ever lowered.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch("([1-9][0-9]*)b?", conf.get(f"spark.sql.execution.arrow.{key}"))  # 0 rows: no bound
+        if now is None or int(now[1]) > most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
 
@@ -93,6 +99,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, as a table in the shared folder, and the folder that remove() deletes once they're no longer read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of shuffle files of what's done: Spark keeps them until the driver happens to collect its garbage."""
     gc.collect()

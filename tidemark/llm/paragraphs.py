@@ -1,117 +1,62 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-Paragraphs (lines of some length) with equal words are one; the others' MinHash bands propose pairs, exact Jaccard
-similarity of word shingles verifies them, and of each connected component all but the first occurrence go.
+Texts and paragraphs (lines) with equal words are one. The others' MinHash bands propose pairs, exact Jaccard similarity
+of word shingles verifies them, and of each connected component all but the first occurrence go.
 
-A passage may also stand within a longer line. Its sentences are too short to differ and still be similar, so for them
-one band, of all words, is enough: stretches of sentences that occur earlier go where they're long enough together.
-
-Nor need a passage begin and end with a sentence. Hashes of a few words, winnowed by their content alone, tell where
-two texts may have a stretch in common; there every window of that width is compared, and stretches of windows that
-occur earlier go where they make a long one.
+A passage may also stand within longer lines. There every run of EVERY windows of words is a paragraph, with one band of
+one row: the window of least hash, its mark. Neighbouring runs mostly have the same mark, so that a text has few of
+them. Texts that share a mark are laid on one another there, and the stretch around it whose shingles are similar goes
+where it's long enough. The one it's compared with is the mark's first occurrence, so each component keeps its first.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from bisect import bisect_right
+import struct
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, WORD_BYTES, cut, map_rows, release, shared_folder, utf8, words
+from tidemark.llm.common import MOST_IDS, WORD_BYTES, cut, map_rows, release, remove, utf8, words, written
 from tidemark.llm.components import components
 
-#: Words of a shingle, least similarity, words that a line needs to count.
-WIDTH, SIMILARITY, LEAST_WORDS = 5, 0.8, 40
+#: Words of a shingle, least similarity, words that a text or line needs to count.
+WIDTH, SIMILARITY, LEAST_WORDS = 5, 0.8, 5
 
-#: Words that a sentence needs to count, that a passage of them needs, and that may part two of its sentences.
-LEAST_SENTENCE, LEAST_PASSAGE, GAP = 6, 40, 10
+#: Words of a window, and windows in a row of which the one with the least hash is a mark: equal runs of 25 words have
+#: one, so that of 51 words with one changed one half has.
+WINDOW, EVERY = 10, 16
 
-#: Sentences are parted by what's in them alone: stops, line ends, and before a capital.
-STOPS = re.compile(r"[.!?\n]+|\s(?=[A-ZÀ-ÖØ-Þ])")
+#: Words that a stretch needs to count: the shortest run that can't do without a mark.
+LEAST_PASSAGE = WINDOW + EVERY - 1
 
-#: Words of a window, and windows in a row of which the one with the least hash is a mark: a run of 25 equal words has
-#: one, so a passage of 51 words with one changed has one as well.
-WINDOW, EVERY = 10, 16
+#: Words of a block of a text that is laid on another, and words on either side that it's seen with.
+BLOCK, AROUND = 256, 48
 
-#: Words on either side of a mark whose windows are compared: what such a passage has beyond its mark.
-AROUND = 42
+#: Unequal words between two equal runs of a stretch, at most; the similarity of the whole decides.
+GAP = 10
 
 #: Words whose hash a worker remembers.
 MEMORY = 250_000
 
-#: A place is a row's rank and a word of its text: 2^32 rows, and texts as long as a string can be.
-WORD = 31
+#: A place is a text's rank and a word of it: 2^32 texts, as long as a string can be.
+WORD, CELL = 31, BLOCK.bit_length() - 1
 
-#: Of a mark's hash; two that are alike by chance only make windows be compared that needn't be.
+#: Of a mark's hash; two that are alike by chance only make texts be compared that needn't be.
 MARK = np.uint64((1 << 40) - 1)
 
-#: At a similarity of 0.8 a pair shares one of these bands with a probability of 0.9992, at 0.3 of 0.24.
-BANDS, ROWS = 10, 3
-
-#: Members of a block, on average.
-MEMBERS = 128
+#: At a similarity of 0.8 a pair shares one of these bands with a probability of 0.994, at 0.9 of 0.9998.
+BANDS, ROWS = 5, 2
 
-#: Shingles hashed at a time, which bounds a very long paragraph's memory.
-BLOCK = 20_000
+#: Members of a block of a bucket, on average, and their bytes.
+MEMBERS, MEMBER_BYTES = 128, 2_000_000
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_FACTOR = _rng.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
-
-PARAGRAPHS = "array<struct<pos: int, start: int, end: int, n_words: int, key: long, bands: array<long>>>"
-SENTENCES = "array<struct<first_word: int, n_words: int, start: int, end: int, key: long>>"
-
-
-def shingles(tokens: list[bytes], width: int = WIDTH) -> Iterator[bytes]:
-    width = min(width, len(tokens))
-    return map(b" ".join, zip(*(tokens[i:] for i in range(width)), strict=False))
-
-
-def bands(tokens: list[bytes]) -> list[int]:
-    """A hash of each band of the shingles' least hashes."""
-    least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    for k in range(0, len(tokens), BLOCK):
-        hashes = np.array([digest(s) for s in shingles(tokens[k : k + BLOCK + WIDTH - 1])], dtype=np.uint64)
-        mixed = hashes * _FACTOR + _ADD
-        least = np.minimum(least, mixed.min(axis=1, keepdims=True))
-    return [xxhash.xxh3_64_intdigest(b.tobytes(), i) - 2**63 for i, b in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def lines(text: bytes, least_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """Number, code points from and up to, and words of each line that has enough words."""
-    at = 0
-    for pos, line in enumerate(text.split(b"\n")):
-        # A word and what parts it from the next take two bytes or more.
-        tokens = words(line) if len(line) >= 2 * least_words - 1 else []
-        size = len(line) if line.isascii() else len(line.decode())
-        if len(tokens) >= least_words:
-            yield pos, at, at + size, tokens
-        at += size + 1
-
-
-def sentences(text: str, least_words: int = LEAST_SENTENCE) -> Iterator[tuple[int, int, int, int, int]]:
-    """First word, words, code points from and up to, and key of each sentence that has enough words."""
-    at = word = 0
-    for stop in chain(STOPS.finditer(text), [None]):
-        end = len(text) if stop is None else stop.start()
-        if end > at:
-            tokens = words(text[at:end].encode())
-            if len(tokens) >= least_words:
-                yield word, len(tokens), at, end, key_of(tokens)
-            word += len(tokens)
-        at = end if stop is None else stop.end()
-
-
-def key_of(tokens: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) - 2**63
+_FACTOR = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
 class _Known(dict):
@@ -123,20 +68,27 @@ class _Known(dict):
 _known = _Known()
 
 
-def grams(tokens: list[bytes], width: int = WINDOW) -> np.ndarray:
-    """A hash of each window of words; fewer words than a window's have none."""
-    if len(tokens) < width:
-        return np.empty(0, dtype=np.uint64)
+def hashed(tokens: list[bytes]) -> np.ndarray:
+    """A hash of each word."""
     if len(_known) > MEMORY:
         _known.clear()
-    own = np.fromiter(map(_known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    return np.fromiter(map(_known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def grams(own: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of hashed words; fewer words than a window's have none."""
     n = len(own) - width + 1
+    if n < 1:
+        return np.empty(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + own[i : i + n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+        out = out * _MIX + own[i : i + n]
+    return _mixed(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 def marks(hashes: np.ndarray, every: int = EVERY) -> np.ndarray:
@@ -147,333 +99,404 @@ def marks(hashes: np.ndarray, every: int = EVERY) -> np.ndarray:
     return np.unique(least + np.arange(len(least)))
 
 
+def bands(own: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each line (words from and up to) its bands: hashes of the least hashes of its shingles. Fewer words than a
+    shingle's are one."""
+    out = np.zeros((len(first), BANDS), dtype=np.uint64)
+    short = end - first < WIDTH
+    long = np.flatnonzero(~short)
+    if len(long):
+        # Each permutation's least values by line; the cell behind the last shingle only keeps the ends in range.
+        all_ = np.append(grams(own, WIDTH), np.uint64(2**64 - 1))
+        cuts = np.stack([first[long], end[long] - WIDTH + 1], axis=1).ravel()
+        for k in range(BANDS * ROWS):
+            out[long, k // ROWS] = _mixed(out[long, k // ROWS] * _MIX + np.minimum.reduceat(all_ * _FACTOR[k] + _ADD[k], cuts)[::2])
+    for i in np.flatnonzero(short):
+        out[i] = _mixed(grams(own[first[i] : end[i]], int(end[i] - first[i])) * _FACTOR[:BANDS])
+    return out.view(np.int64)
+
+
 def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Code points from and up to of each word."""
+    """Bytes from and up to of each word."""
     inside = np.frombuffer(text.translate(WORD_BYTES), dtype=np.uint8) != 0x20
     edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def points(text: bytes, places: np.ndarray) -> np.ndarray:
+    """Code points of places that are bytes."""
     if text.isascii():
-        return starts, ends
-    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
-    return before[starts], before[ends]
+        return places
+    return np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])[places]
 
 
-def joined(places: list[int], reach: int) -> list[tuple[int, int]]:
-    """Ranges of what's at most so far from a place, each before the next."""
-    out: list[list[int]] = []
-    for p in sorted(places):
-        if out and p - reach <= out[-1][1]:
-            out[-1][1] = p + reach
-        else:
-            out.append([max(0, p - reach), p + reach])
-    return [(a, b) for a, b in out]
+def lines(text: bytes, starts: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """Bytes from and up to, and words from and up to, of each line that has enough words; starts: of the words."""
+    ends = np.append(np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 0x0A), len(text))
+    begins = np.append(0, ends[:-1] + 1)
+    first, end = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+    keep = end - first >= max(1, least_words)
+    return begins[keep], ends[keep], first[keep], end[keep]
 
 
-def stretches(found: list[tuple[int, int]], least: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
-    """Windows (word, kept place) that occur earlier -> first word, end word, kept place of the first, of each run with
-    least or more words of which such windows cover the share that similarity says, parted by GAP words at most."""
-    parts: list[list[int]] = []
-    for word, kept in sorted(found):
-        if parts and word <= parts[-1][1]:
-            parts[-1][1] = word + WINDOW
-        else:
-            parts.append([word, word + WINDOW, kept])
-    out: list[list[int]] = []
-    for a, b, kept in parts:
-        if out and a - out[-1][1] <= GAP and out[-1][3] + b - a >= similarity * (b - out[-1][0]):
-            out[-1][1], out[-1][3] = b, out[-1][3] + b - a
-        else:
-            out.append([a, b, kept, b - a])
-    return [(a, b, kept) for a, b, kept, _ in out if b - a >= least]
-
-
-def by_lines(text: bytes) -> Callable[[int, int], list[tuple[int, int, int, int]]]:
-    """A function of words first and end that gives what each line has of them: code points from and up to, words, and
-    words of the whole line."""
-    starts, ends = (x.tolist() for x in spans(text))
-    counts = [len(words(line)) for line in text.split(b"\n")]
-    before = list(accumulate(counts, initial=0))
-
-    def cuts(first: int, end: int) -> list[tuple[int, int, int, int]]:
-        out, k = [], bisect_right(before, first) - 1
-        while k < len(counts) and before[k] < end:
-            a, b = max(first, before[k]), min(end, before[k + 1])
-            if a < b:
-                out.append((starts[a], ends[b - 1], b - a, counts[k]))
-            k += 1
-        return out
+def keys(line: bytes) -> tuple[int, int]:
+    """Two hashes of 64 bits of a line's words, spaced."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(line))
+
+
+def similar(a: set, b: set, similarity: float) -> bool:
+    both = len(a & b)
+    return both >= similarity * (len(a) + len(b) - both)
+
 
-    return cuts
+def shingles(tokens: list, width: int = WIDTH) -> Iterator[tuple]:
+    width = min(width, len(tokens))
+    return zip(*(tokens[i:] for i in range(width)), strict=False)
 
 
-def links(members: list[tuple[int, int, bytes]], first: int, second: int, similarity: float) -> list[tuple[int, int]]:
-    """Links (a, b) that join what is similar among members (key, block, words): those of one block with one another
-    if first is second, else those of the first with those of the second. What's joined already isn't compared again."""
-    sets = [(k, b, set(shingles(t.split(b" ")))) for k, b, t in sorted(members)]
-    head = list(range(len(sets)))
+def links(members: list[tuple[int, int, int, bytes]], first: int, second: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) between labels that join what is similar among members (key, label, block, words): those of one block
+    with one another if first is second, else those of the first with those of the second. What's joined isn't compared."""
+    sets = [(label, block, set(shingles(w.split(b" ")))) for _, label, block, w in sorted(members)]
+    head: dict[int, int] = {}
 
     def find(i: int) -> int:
-        while head[i] != i:
-            head[i] = head[head[i]]
-            i = head[i]
+        while (j := head.get(i, i)) != i:
+            head[i] = head.get(j, j)
+            i = j
         return i
 
     out = []
-    left = [i for i, x in enumerate(sets) if x[1] == first]
-    right = [i for i, x in enumerate(sets) if x[1] == second]
+    left, right = ([i for i, x in enumerate(sets) if x[1] == block] for block in (first, second))
     for i in left:
-        key, _, x = sets[i]
+        a, _, x = sets[i]
         for j in right:
-            other, _, y = sets[j]
-            if (first == second and j <= i) or min(len(x), len(y)) < similarity * max(len(x), len(y)) or find(i) == find(j):
+            b, _, y = sets[j]
+            if (first == second and j <= i) or min(len(x), len(y)) < similarity * max(len(x), len(y)) or find(a) == find(b):
                 continue
-            both = len(x & y)
-            if both >= similarity * (len(x) + len(y) - both):
-                head[find(j)] = find(i)
-                out.append((key, other))
+            if similar(x, y, similarity):
+                head[find(b)] = find(a)
+                out.append((a, b))
     return out
 
 
-def _read(rows: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, n (a number of the row), same (its text's hash), size (its words), marks (word, key), paragraphs,
-    sentences: read once, and kept in the shared folder."""
+def alike(a: list[int], b: list[int], anchors: list[tuple[int, int]], least: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """Anchors (i, j), places in hashed words a and b -> (from, up to, from in b) of the stretches of a around them.
+
+    A stretch runs along one diagonal: it begins with the run of equal words that an anchor is in, takes in the nearest
+    further runs of a shingle's words or more as long as the shingles of both sides are similar, and has least words.
+    """
+    x, y, out = np.array(a), np.array(b), []
+    for shift in sorted({j - i for i, j in anchors}):
+        low, high = max(0, -shift), min(len(x), len(y) - shift)
+        edges = np.diff(np.concatenate([[False], x[low:high] == y[low + shift : high + shift], [False]]).astype(np.int8))
+        runs = [(s + low, e + low) for s, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True) if e - s >= WIDTH]
+        done = -1
+        for i in sorted(i for i, j in anchors if j - i == shift):
+            k = next((k for k, (s, e) in enumerate(runs) if s <= i < e), None)
+            if k is None or i < done:
+                continue
+            first = last = k
+            while True:
+                wider = []
+                if first and runs[first][0] - runs[first - 1][1] <= GAP:
+                    wider.append((first - 1, last))
+                if last + 1 < len(runs) and runs[last + 1][0] - runs[last][1] <= GAP:
+                    wider.append((first, last + 1))
+                sides = ((f, n, runs[f][0], runs[n][1]) for f, n in wider)
+                found = next(((f, n) for f, n, s, e in sides if similar(set(shingles(a[s:e])), set(shingles(b[s + shift : e + shift])), similarity)), None)
+                if found is None:
+                    break
+                first, last = found
+            s, e = runs[first][0], runs[last][1]
+            done = e
+            if e - s >= least:
+                out.append((s, e, s + shift))
+    return out
+
+
+def merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches (from, up to, kept) that overlap or adjoin as one, which has the first one's kept place."""
+    out: list[list[int]] = []
+    for s, e, kept in sorted(found):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e, kept])
+    return [(s, e, kept) for s, e, kept in out]
+
+
+def _dealt(df: DataFrame, col: str) -> DataFrame:
+    """A second key: a join by both deals out both sides anew, and the adaptive planner can split a hot key."""
+    return df.withColumn("h", F.pmod(F.xxhash64(col), F.lit(4)).cast("byte"))
 
-    def make() -> Callable[..., tuple]:
-        lined = ("pos", "start", "end", "n_words", "key", "bands")
-        parted = ("first_word", "n_words", "start", "end", "key")
 
-        def row(i: int, text: bytes, same: int) -> tuple:
+def _join(a: DataFrame, b: DataFrame, col: str, how: str = "inner") -> DataFrame:
+    return _dealt(a, col).join(_dealt(b, col), [col, "h"], how).drop("h")
+
+
+LINE = ("start", "end", "n_words", "key", "key2", "bands")
+
+
+def _read(rows: DataFrame, least_words: int) -> tuple[DataFrame, str]:
+    """doc_id, same and whole (its text's hashes, of 64 and 128 bits), size (its words), chars, marks and their keys, and
+    of its lines the places, two hashes of 64 bits and bands; n numbers the rows. Texts are read once; this is kept."""
+
+    def make() -> Callable[..., tuple]:
+        def row(i: int, text: bytes, same: int, whole: bytes) -> tuple:
+            starts, _ = spans(text)
             tokens = words(text)
-            hashes = grams(tokens)
+            own = hashed(tokens)
+            hashes = grams(own, WINDOW)
             at = marks(hashes)
-            long = [dict(zip(lined, (p, a, b, len(t), key_of(t), bands(t)), strict=True)) for p, a, b, t in lines(text, least_words)]
-            return i, same, len(tokens), at.astype(np.int32), (hashes[at] & MARK).view(np.int64), long, [dict(zip(parted, x, strict=True)) for x in sentences(text.decode())]
+            begins, ends, first, end = lines(text, starts, least_words)
+            places = points(text, np.concatenate([begins, ends, [len(text)]]))
+            both = np.array([keys(b" ".join(tokens[a:b])) for a, b in zip(first.tolist(), end.tolist(), strict=True)], dtype=np.int64).reshape(-1, 2)
+            line = (places[: len(begins)], places[len(begins) : -1], end - first, both[:, 0], both[:, 1], list(bands(own, first, end)))
+            return i, same, whole, len(tokens), int(places[-1]), at, (hashes[at] & MARK).view(np.int64), *line
 
         return row
 
-    schema = f"doc_id long, same long, size int, marks array<int>, keys array<long>, paragraphs {PARAGRAPHS}, sentences {SENTENCES}"
-    found = map_rows(rows.select("doc_id", "text", F.xxhash64("text")), make, schema).withColumn("n", F.monotonically_increasing_id())
-    path = f"{shared_folder(rows.sparkSession)}/passages-{uuid.uuid4()}"
-    found.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    kinds = ("int", "int", "int", "long", "long", "array<long>")
+    schema = "doc_id long, same long, whole binary, size int, chars int, marks array<int>, keys array<long>, "
+    schema += ", ".join(f"{name} array<{kind}>" for name, kind in zip(LINE, kinds, strict=True))
+    found = map_rows(rows.select("doc_id", "text", F.xxhash64("text"), F.unhex(F.md5("text"))), make, schema)
+    return written(found.withColumn("n", F.monotonically_increasing_id()), "passages")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
-    """key -> its words, read again at its first occurrence (doc_id, pos) only."""
-    places = cut(wanted.groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("pos").alias("places")))
-    if places.count() <= MOST_IDS:
-        places = F.broadcast(places)
-    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col("own"))).select("text", "places")
+def _met(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
+    """text and cols of wanted, at the rows with wanted's doc_id and same."""
+    wanted = cut(wanted.select(F.col("doc_id").alias("own"), F.col("same").alias("its"), *cols))
+    if wanted.count() <= MOST_IDS:
+        wanted = F.broadcast(wanted)
+    same = F.xxhash64("text")
+    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (same == F.col("its"))).select("text", *cols)
+
+
+# Whole texts.
+
+
+def _copies(read: DataFrame, least_words: int) -> DataFrame:
+    rows = read.where(F.col("size") >= max(1, least_words)).select("doc_id", "n", "whole", "chars", "size")
+    heads = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "n")).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+    gone = _join(rows, heads, "whole").where("n != kept.n")
+    return gone.select("doc_id", F.lit(0).alias("start"), F.col("chars").alias("end"), F.col("size").alias("n_words"), F.col("kept.doc_id").alias("kept_doc_id"), F.lit(0).alias("kept_start"), F.lit("text").alias("unit"))
+
+
+# Lines.
+
+
+def _words(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
+    """key -> its words, read again at its first occurrence (doc_id, same, pos) only."""
+    places = wanted.groupBy("doc_id", "same").agg(F.collect_set("pos").alias("places"))
 
     def make() -> Callable[..., tuple]:
         def row(text: bytes, places: list[int]) -> tuple:
-            these = set(places)
-            return ([{"key": key_of(t), "words": b" ".join(t)} for p, _, _, t in lines(text, least_words) if p in these],)
+            tokens = words(text)
+            _, _, first, end = lines(text, spans(text)[0], least_words)
+            own = [b" ".join(tokens[first[p] : end[p]]) for p in places if p < len(first)]
+            return ([{"key": keys(w)[0], "words": w} for w in own],)
 
         return row
 
-    found = map_rows(met, make, "found array<struct<key: long, words: binary>>").select(F.explode("found").alias("x")).select("x.key", "x.words")
-    # Rows with one doc_id may have other paragraphs there.
-    return found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("words").alias("words"))
+    found = map_rows(_met(rows, places, "places"), make, "found array<struct<key: long, words: binary>>").select(F.explode("found").alias("x")).select("x.key", "x.words")
+    # Rows of one doc_id and text give the same.
+    return cut(found.groupBy("key").agg(F.min("words").alias("words")))
 
 
-def _dealt(df: DataFrame, col: str) -> DataFrame:
-    """A second key: a join by both deals out both sides anew, and the adaptive planner can split a hot key."""
-    return df.withColumn("h", F.pmod(F.col(col), F.lit(4)).cast("byte"))
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (key, pivot) those that are similar."""
+
+    def make() -> Callable[..., tuple]:
+        def row(a: int, b: int, x: bytes, y: bytes) -> tuple:
+            return a, b, similar(set(shingles(x.split(b" "))), set(shingles(y.split(b" "))), similarity)
+
+        return row
+
+    both = _join(_join(pairs, texts, "key"), texts.select(F.col("key").alias("pivot"), F.col("words").alias("others")), "pivot")
+    return map_rows(both.select("key", "pivot", "words", "others"), make, "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
 def _classes(first: DataFrame, rows: DataFrame, similarity: float, least_words: int) -> DataFrame:
-    """Distinct paragraphs (key, doc_id, pos, bands) -> key, component, where a component has several.
+    """Distinct lines (key, doc_id, same, pos, bands) -> key, component, where a component has several.
 
-    Paragraphs that share buckets, straight or by others, are a class, and only within one can two be similar. A class
-    is compared in blocks: a task has the members of two blocks, however large the class is, makes no row for a
-    pair, and returns fewer links than it has members.
+    Every member of a bucket is first compared with two of it, which joins most of a large group of near copies. Then
+    members of different labels are compared in blocks: a task has the members of two blocks, however large the
+    bucket is, makes no row for a pair, and returns fewer links than it has members.
     """
     banded = first.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
-    ends = banded.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("bucket", "low")
-    shared = _dealt(banded, "bucket").join(_dealt(ends, "bucket"), ["bucket", "h"]).select("key", "low").distinct()
-    classes = cut(components(shared.select(F.col("key").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "key", "component": "class"}))
-    wanted = first.join(classes, "key").select("key", "doc_id", "pos")
-    blocks = classes.groupBy("class").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    members = _dealt(classes, "class").join(_dealt(blocks, "class"), ["class", "h"]).join(_texts(rows, wanted, least_words), "key")
+    shared = banded.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("many"), F.bit_xor("key").alias("mix"))
+    # Pairs mostly share several buckets: of buckets with equal members one is enough.
+    shared = shared.where("low != high").groupBy("low", "high", "many", "mix").agg(F.min("bucket").alias("bucket")).drop("mix")
+    met = cut(_join(banded, shared, "bucket"))
+    texts = _words(rows, first.join(met.select("key").distinct(), "key"), least_words)
+    pairs = met.select("key", F.explode(F.array("low", "high")).alias("pivot")).where("key != pivot").distinct()
+    labels = cut(components(_verified(pairs, texts, similarity)).withColumnsRenamed({"node": "key", "component": "label"}))
+
+    labelled = _join(met.where("many > 2").select("bucket", "key"), labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    size = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(F.length("words")) / MEMBER_BYTES)).cast("int")
+    labelled = cut(_join(labelled, texts, "key"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), size.alias("blocks")).where("low != high").select("bucket", "blocks")
+    members = _join(labelled, mixed, "bucket")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = members.groupBy("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = pairs.agg(F.collect_list(F.struct("key", "block", "words")).alias("members")).where("size(members) > 1")
+    blocks = members.groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    blocks = blocks.agg(F.collect_list(F.struct("key", "label", "block", "words")).alias("members")).where("size(members) > 1")
 
     def make() -> Callable[..., tuple]:
-        names = ("a", "b")
-
         def row(i: int, j: int, own: list[dict]) -> tuple:
-            found = links([(m["key"], m["block"], m["words"]) for m in own], i, j, similarity)
-            return ([dict(zip(names, x, strict=True)) for x in found],)
+            found = links([(m["key"], m["label"], m["block"], m["words"]) for m in own], i, j, similarity)
+            return ([dict(zip("ab", x, strict=True)) for x in found],)
 
         return row
 
-    found = map_rows(pairs.select("i", "j", "members"), make, "links array<struct<a: long, b: long>>").select(F.explode("links").alias("x")).select("x.*")
-    return components(found).select(F.col("node").alias("key"), "component")
-
-
-OUT = ("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "unit")
+    found = map_rows(blocks.select("i", "j", "members"), make, "links array<struct<a: long, b: long>>").select(F.explode("links").alias("x")).select("x.*")
+    second = components(found).withColumnsRenamed({"node": "label"})
+    ends = labels.join(second, "label", "full").select(F.col("key"), "label", F.coalesce("component", "label").alias("component"))
+    # A label that phase one joined nothing to is its only member's key.
+    return ends.select(F.coalesce("key", "label").alias("key"), "component")
 
 
 def _paragraphs(read: DataFrame, rows: DataFrame, similarity: float, least_words: int) -> DataFrame:
-    """Paragraphs of which an equal or similar one comes earlier."""
-    found = read.select("doc_id", "n", F.explode("paragraphs").alias("p")).select("doc_id", "n", "p.*")
+    """Lines of which an equal or similar one comes earlier."""
+    found = read.select("doc_id", "n", "same", F.posexplode(F.arrays_zip(*LINE)).alias("pos", "l")).select("doc_id", "n", "same", "pos", "l.*")
     place = F.struct("doc_id", "n", "pos", "start")
-    first = found.groupBy("key").agg(F.min(place).alias("at"), F.min("bands").alias("bands")).select("key", "at.doc_id", "at.pos", "bands")
+    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "n", "pos", "same")).alias("at"), F.min("key2").alias("least"), F.max("key2").alias("most"), F.min("bands").alias("bands"))
+    # Different lines of one hash aren't taken for equal, nor compared.
+    first = first.where("least = most").select("key", "at.doc_id", "at.same", "at.pos", "bands")
     classes = cut(_classes(cut(first), rows, similarity, least_words))
-    component = F.coalesce("component", "key").alias("component")
-    all_ = _dealt(found.drop("bands"), "key").join(_dealt(classes, "key"), ["key", "h"], "left").drop("h")
-    all_ = cut(all_.select("doc_id", "pos", "n", "start", "end", "n_words", component))
-    heads = all_.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    gone = _dealt(all_, "component").join(_dealt(heads, "component"), ["component", "h"]).where("n != kept.n OR pos != kept.pos")
+    all_ = _join(found.select("doc_id", "n", "pos", "start", "end", "n_words", "key", "key2"), classes, "key", "left")
+    all_ = cut(all_.withColumn("key2", F.when(F.col("component").isNull(), F.col("key2")).otherwise(0)).withColumn("component", F.coalesce("component", "key")).drop("key"))
+    heads = all_.groupBy("component", "key2").agg(F.min(place).alias("kept"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    gone = _dealt(all_, "component").join(_dealt(heads, "component"), ["component", "key2", "h"]).where("n != kept.n OR pos != kept.pos")
     return gone.select("doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.lit("paragraph").alias("unit"))
 
 
-def _passages(read: DataFrame, least_passage: int) -> DataFrame:
-    """Stretches of sentences each of which comes earlier in another document."""
-    found = read.select("doc_id", "n", F.explode("sentences").alias("s")).select("doc_id", "n", "s.*")
-    heads = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.max("doc_id").alias("last")).where("NOT last <=> kept.doc_id").select("key", "kept")
-    # Most sentences occur once. A hot one is split by the planner; what's left is dealt out by document.
-    later = _dealt(found, "key").join(_dealt(heads, "key"), ["key", "h"]).where("NOT doc_id <=> kept.doc_id")
-    later = later.select("doc_id", "n", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "start", "end", "kept")
-    order = Window.partitionBy("n").orderBy("first_word")
-    new = F.coalesce((F.col("first_word") - F.lag("end_word").over(order) > GAP).cast("int"), F.lit(1))
-    runs = later.withColumn("new", new).withColumn("run", F.sum("new").over(order)).groupBy("n", "run").agg(
-        F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("a"), F.max("end_word").alias("b"),
-        F.min(F.struct("first_word", "kept")).alias("at"),
-    )
-    runs = runs.withColumn("n_words", F.col("b") - F.col("a")).where(F.col("n_words") >= least_passage)
-    return runs.select("doc_id", "start", "end", "n_words", F.col("at.kept.doc_id").alias("kept_doc_id"), F.col("at.kept.start").alias("kept_start"), F.lit("passage").alias("unit"))
-
-
-def _ranked(read: DataFrame) -> DataFrame:
-    """doc_id, same, size, rank: rows numbered by doc_id (null first) and n."""
+# Stretches.
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Adds rank: rows (doc_id, n, same) numbered by doc_id (null first) and n."""
     bits = 33  # of a number within a partition
-    rows = read.select("doc_id", "n", "same", "size").repartitionByRange("doc_id", "n").sortWithinPartitions("doc_id", "n")
-    rows = cut(rows.withColumn("m", F.monotonically_increasing_id()))
+    rows = cut(rows.repartitionByRange("doc_id", "n").sortWithinPartitions("doc_id", "n").withColumn("m", F.monotonically_increasing_id()))
     part = F.shiftright("m", bits).alias("part")
     before, offsets = 0, []
-    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):  # a row a partition
         offsets.append((p, before))
         before += n
     offset = rows.sparkSession.createDataFrame(offsets, "part long, before long")
     rank = F.col("before") + F.col("m").bitwiseAND(F.lit((1 << bits) - 1))
-    return rows.withColumn("part", part).join(F.broadcast(offset), "part").select("doc_id", "same", "size", rank.alias("rank"))
+    return rows.withColumn("part", part).join(F.broadcast(offset), "part").select("doc_id", "same", rank.alias("rank"))
 
 
 def _word(place: str) -> Column:
-    return F.col(place).bitwiseAND(F.lit((1 << WORD) - 1)).cast("int").alias("word")
+    return F.col(place).bitwiseAND(F.lit((1 << WORD) - 1)).cast("int")
 
 
-def _met(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
-    """text and cols of wanted, at the rows with wanted's doc_id and same."""
-    wanted = cut(wanted.select(F.col("doc_id").alias("own"), F.col("same").alias("its"), *cols))
-    if wanted.count() <= MOST_IDS:
-        wanted = F.broadcast(wanted)
-    same = F.xxhash64("text")
-    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (same == F.col("its"))).select("text", *cols)
-
-
-def _stretches(read: DataFrame, rows: DataFrame, least_words: int, least_passage: int) -> DataFrame:
-    """Stretches of words each of which comes earlier, in any row; equal texts are one, and their copies go whole.
-
-    Equal runs of 25 words share a mark. Only around marks that occur again is there a row for each window.
-    """
-    ranked = cut(_ranked(read))
-    texts = ranked.groupBy("same").agg(F.min("rank").alias("rank"), F.count("*").alias("copies"))
-    firsts = cut(_dealt(ranked, "same").join(_dealt(texts, "same"), ["same", "h"]).where(ranked["rank"] == texts["rank"]).select("same", "doc_id", "size", texts["rank"], "copies"))
-
+def _stretches(read: DataFrame, rows: DataFrame, similarity: float, least_passage: int) -> DataFrame:
+    """Stretches of words each of which comes earlier, in any row; equal texts are one."""
+    firsts = read.groupBy("same").agg(F.min(F.struct("doc_id", "n")).alias("at")).select("same", "at.doc_id", "at.n")
+    ranked = cut(_ranked(firsts))
     marked = read.select("same", F.explode(F.arrays_zip("marks", "keys")).alias("x")).select("same", F.col("x.marks").alias("word"), F.col("x.keys").alias("key"))
     place = F.xxhash64("same", "word")
     again = marked.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("key")
-    near = _dealt(marked, "key").join(_dealt(again, "key"), ["key", "h"]).groupBy("same").agg(F.collect_set("word").alias("words"))
-
-    def ranges() -> Callable[..., tuple]:
-        return lambda same, places: (same, [dict(zip(("a", "b"), x, strict=True)) for x in joined(places, AROUND)])
+    hits = cut(_join(marked, again, "key").distinct())
+    del again
+    release(rows.sparkSession)
+    located = cut(_join(hits, ranked, "same").select("key", F.shiftleft("rank", WORD).bitwiseOR(F.col("word").cast("long")).alias("place")))
+    kept = located.groupBy("key").agg(F.min("place").alias("kept"))
+    pairs = _join(located, kept, "key").where("place != kept")
+    pairs = pairs.select("place", "kept", F.shiftright("place", CELL).alias("cell"), F.shiftright("kept", CELL).alias("other"))
+    pairs = cut(pairs.groupBy("cell", "other").agg(F.collect_set(F.struct("place", "kept")).alias("anchors")))  # a block's marks
 
-    near = map_rows(near, ranges, "same long, ranges array<struct<a: int, b: int>>").join(firsts, "same")
+    cells = pairs.select("cell").unionByName(pairs.select(F.col("other").alias("cell"))).distinct()
+    cells = cells.groupBy(F.shiftright("cell", WORD - CELL).alias("rank")).agg(F.collect_set(F.col("cell").bitwiseAND(F.lit((1 << WORD - CELL) - 1)).cast("int")).alias("blocks"))
 
-    def windows() -> Callable[..., tuple]:
-        def row(text: bytes, rank: int, ranges: list[dict]) -> tuple:
-            hashes = grams(words(text)).view(np.int64)
-            return rank, [{"a": r["a"], "keys": hashes[r["a"] : r["b"]]} for r in ranges]
+    def blocks() -> Callable[..., tuple]:
+        def row(text: bytes, rank: int, blocks: list[int]) -> tuple:
+            own = (hashed(words(text)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            parts = ((b, max(0, b * BLOCK - AROUND)) for b in sorted(blocks))
+            return ([{"cell": rank << WORD - CELL | b, "first": first, "words": own[first : (b + 1) * BLOCK + AROUND]} for b, first in parts],)
 
         return row
 
-    compared = map_rows(_met(rows, near, "rank", "ranges"), windows, "rank long, ranges array<struct<a: int, keys: array<long>>>")
-    compared = cut(compared)
-    del near, again, marked
+    part = "array<struct<cell: long, first: int, words: array<int>>>"
+    parts = map_rows(_met(rows, cells.join(ranked, "rank"), "rank", "blocks"), blocks, f"cells {part}").select(F.explode("cells").alias("x")).select("x.*")
+    # Rows of one doc_id and text give the same.
+    parts, path = written(parts.dropDuplicates(["cell"]), "blocks")
     release(rows.sparkSession)
-    compared = compared.select("rank", F.explode("ranges").alias("x")).select("rank", "x.a", F.posexplode("x.keys").alias("i", "key"))
-    compared = compared.select("key", F.shiftleft("rank", WORD).bitwiseOR((F.col("a") + F.col("i")).cast("long")).alias("place"))
-    kept = compared.groupBy("key").agg(F.min("place").alias("kept"), F.max("place").alias("last")).where("kept != last").select("key", "kept")
-    later = _dealt(compared, "key").join(_dealt(kept, "key"), ["key", "h"]).where("place != kept")
-    later = later.groupBy(F.shiftright("place", WORD).alias("rank")).agg(F.collect_set(F.struct(_word("place"), "kept")).alias("found"))
+
+    def lay() -> Callable[..., tuple]:
+        low, names, least = (1 << WORD) - 1, ("a", "b", "kept"), min(least_passage, AROUND)
+
+        def row(anchors: list[dict], first: int, own: list[int], other_first: int, others: list[int]) -> tuple:
+            rank, kept_rank = anchors[0]["place"] >> WORD, anchors[0]["kept"] >> WORD
+            found = alike(own, others, [((x["place"] & low) - first, (x["kept"] & low) - other_first) for x in anchors], least, similarity)
+            return rank, [dict(zip(names, (first + s, first + e, kept_rank << WORD | other_first + j), strict=True)) for s, e, j in found]
+
+        return row
+
+    laid = _join(_join(pairs, parts, "cell"), parts.withColumnsRenamed({"cell": "other", "first": "other_first", "words": "others"}), "other")
+    found = map_rows(laid.select("anchors", "first", "words", "other_first", "others"), lay, "rank long, found array<struct<a: int, b: int, kept: long>>")
+    found = cut(found.select("rank", F.explode("found").alias("x")).groupBy("rank").agg(F.collect_set("x").alias("found")))
+    remove(rows.sparkSession, path)
 
     def runs() -> Callable[..., tuple]:
         names = ("a", "b", "kept")
 
         def row(rank: int, found: list[dict]) -> tuple:
-            return rank, [dict(zip(names, x, strict=True)) for x in stretches([(x["word"], x["kept"]) for x in found], least_passage)]
+            whole = merged([(x["a"], x["b"], x["kept"]) for x in found])
+            return rank, [dict(zip(names, x, strict=True)) for x in whole if x[1] - x[0] >= least_passage]
 
         return row
 
-    found = map_rows(later, runs, "rank long, runs array<struct<a: int, b: int, kept: long>>")
-    found = cut(found.where("size(runs) > 0"))
-    # Where the kept ones start is read off their texts too.
-    asked = found.select(F.explode("runs.kept").alias("kept")).groupBy(F.shiftright("kept", WORD).alias("rank")).agg(F.collect_set(_word("kept")).alias("asked"))
-    whole = (F.col("copies") > 1) & (F.col("size") >= least_passage)
-    found = firsts.join(found, "rank", "left").join(asked, "rank", "left").withColumn("whole", whole).where("runs IS NOT NULL OR asked IS NOT NULL OR whole")
-
-    def cuts() -> Callable[..., tuple]:
-        names, at = ("start", "end", "n_words", "kept"), ("kept", "kept_start")
-
-        def row(text: bytes, its: int, rank: int, size: int, runs: list[dict] | None, asked: list[int] | None, whole: bool) -> tuple:
-            cut_up = by_lines(text)
-            own = [(a, b, n, r["kept"]) for r in runs or [] for a, b, n, _ in cut_up(r["a"], r["b"])]
-            # Copies' lines that are long enough are paragraphs.
-            copy = [(a, b, n, a) for a, b, n, line in cut_up(0, size) if line < least_words] if whole else []
-            starts = spans(text)[0] if asked else []
-            places = [dict(zip(at, (rank << WORD | w, int(starts[w])), strict=True)) for w in asked or []]
-            return its, rank, *([dict(zip(names, x, strict=True)) for x in xs] for xs in (own, copy)), places
+    found = cut(map_rows(found, runs, "rank long, runs array<struct<a: int, b: int, kept: long>>").where("size(runs) > 0"))
+    # Code points are read off the texts, those of the kept ones' starts too.
+    own = found.select("rank", F.explode("runs").alias("x")).select("rank", "x.*")
+    asked = own.select("rank", F.explode(F.array("a", F.col("b") - 1)).alias("word"))
+    asked = asked.unionByName(own.select(F.shiftright("kept", WORD).alias("rank"), _word("kept").alias("word")))
+    asked = asked.groupBy("rank").agg(F.collect_set("word").alias("asked"))
+
+    def places() -> Callable[..., tuple]:
+        names = ("word", "start", "end")
+
+        def row(text: bytes, rank: int, asked: list[int]) -> tuple:
+            starts, ends = spans(text)
+            asked = [w for w in asked if w < len(starts)]
+            return rank, [dict(zip(names, x, strict=True)) for x in zip(asked, points(text, starts[asked]).tolist(), points(text, ends[asked]).tolist(), strict=True)]
 
         return row
 
-    part = "array<struct<start: int, end: int, n_words: int, kept: long>>"
-    schema = f"same long, rank long, own {part}, copy {part}, places array<struct<kept: long, kept_start: int>>"
-    met = _met(rows, found.withColumn("text_", F.col("same")), "text_", "rank", "size", "runs", "asked", "whole")
-    # Rows of one doc_id and text give the same.
-    found = cut(map_rows(met, cuts, schema).dropDuplicates(["rank"]))
-    places = found.select(F.explode("places").alias("x")).select("x.*")
-    own = found.select("rank", F.explode("own").alias("x")).select("rank", "x.*")
-    own = _dealt(own, "kept").join(_dealt(places, "kept"), ["kept", "h"]).join(ranked.select("rank", "doc_id"), "rank")
-    own = own.select("doc_id", "start", "end", "n_words", F.shiftright("kept", WORD).alias("head"), "kept_start")
-    copies = _dealt(ranked.select("same", "doc_id", F.col("rank").alias("this")), "same").join(_dealt(found.where("size(copy) > 0").select("same", "rank", "copy"), "same"), ["same", "h"])
-    copies = copies.where("this != rank").select("doc_id", F.col("rank").alias("head"), F.explode("copy").alias("x"))
-    copies = copies.select("doc_id", "x.start", "x.end", "x.n_words", "head", F.col("x.start").alias("kept_start"))
+    met = map_rows(_met(rows, asked.join(ranked, "rank"), "rank", "asked"), places, "rank long, at array<struct<word: int, start: int, end: int>>").dropDuplicates(["rank"])
+    places_ = cut(met.select(F.shiftleft("rank", WORD).alias("base"), F.explode("at").alias("x")).select(F.col("base").bitwiseOR(F.col("x.word").cast("long")).alias("place"), "x.start", "x.end"))
+    base = F.shiftleft("rank", WORD)
+    own = own.select("rank", "kept", (F.col("b") - F.col("a")).alias("n_words"), base.bitwiseOR(F.col("a").cast("long")).alias("from"), base.bitwiseOR((F.col("b") - 1).cast("long")).alias("upto"))
+    own = own.join(places_.select(F.col("place").alias("from"), "start"), "from").join(places_.select(F.col("place").alias("upto"), "end"), "upto")
+    own = _join(own, places_.select(F.col("place").alias("kept"), F.col("start").alias("kept_start")), "kept").withColumn("head", F.shiftright("kept", WORD))
     heads = ranked.select(F.col("rank").alias("head"), F.col("doc_id").alias("kept_doc_id"))
-    gone = _dealt(own.unionByName(copies), "head").join(_dealt(heads, "head"), ["head", "h"])
+    gone = _join(own.join(ranked.select("rank", "doc_id"), "rank"), heads, "head")
     return gone.select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", F.lit("stretch").alias("unit"))
 
 
 def repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE
 ) -> DataFrame:
-    """doc_id, start, end, n_words, kept_doc_id, kept_start, unit: a row for each stretch of text to remove.
-
-    unit paragraph: a line of least_words or more words, of whose component another occurrence comes first, by doc_id
-    (null first) and line; unit passage: sentences together of least_passage or more words, with short ones between
-    them, each of which occurs in a document of smaller doc_id; unit stretch: what a line has of least_passage or more
-    words, wherever they begin and end, of which windows of ten that occur earlier, be it in the same row, cover 0.8,
-    and the lines of a copied text that are no paragraphs. Stretches of the units may overlap; what goes is their union. start and end are code points; the kept one is that of the first sentence. Words count without case and
-    punctuation; shingles have five words. Null and empty texts have none; of the paragraphs of rows with one doc_id
-    one is kept; no rows give no rows. Other columns aren't read.
+    """doc_id, start, end, n_words, kept_doc_id, kept_start, unit: a row for each piece of text to remove.
+
+    unit text: a text of least_words or more words that an earlier row has, by doc_id (null first); unit paragraph: a
+    line of least_words or more words, of whose component another occurrence comes earlier, by doc_id and line; unit
+    stretch: words, wherever they begin and end, that are similar to earlier ones, be they of the same row, and
+    least_passage or more. Runs of LEAST_PASSAGE equal words are always found, and what a similar passage has besides
+    such a run; copies of a text have no stretches of their own. Pieces may overlap; what goes is their union.
+
+    start and end are code points, end exclusive. Words count without case and punctuation; shingles have five words,
+    and fewer words are one. Null and empty texts have no words and so none of the units; repeated rows are copies, of
+    which one is kept; of a word that fills a text the first stays; no rows give no rows. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    read = _read(rows, least_words)
-    found = cut(_stretches(read, rows, least_words, least_passage))
-    release(rows.sparkSession)
-    lines_ = cut(_paragraphs(read, rows, similarity, least_words))
-    release(rows.sparkSession)
-    return lines_.unionByName(_passages(read, least_passage)).unionByName(found).select(*OUT)
+    read, path = _read(rows, least_words)
+    spark, found = rows.sparkSession, []
+    for part in (lambda: _copies(read, least_words), lambda: _stretches(read, rows, similarity, least_passage), lambda: _paragraphs(read, rows, similarity, least_words)):
+        found.append(cut(part()))
+        release(spark)
+    remove(spark, path)
+    return found[0].unionByName(found[1]).unionByName(found[2])

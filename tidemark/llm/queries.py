@@ -44,8 +44,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+#: Lines of up to 14 words are phrases that a third of clean documents share; from 15 on a repeat is a copy.
+REPEATED_WORDS = 15
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+    return paragraphs.repeats(table(spark, sf_dir, "documents"), least_words=REPEATED_WORDS)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
