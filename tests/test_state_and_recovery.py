@@ -50,6 +50,43 @@ def test_scans_over_several_buckets(spark):
     assert {r.x: r.y for r in met.collect()} == {-5: 0, 0: 0, 33: 40, 50: 50, 99: 100, 100: 100, 101: None}
 
 
+def test_hot_keys_and_keyed_scans_in_parts(spark):
+    rows = vector(spark, [("hot" if i % 3 else None if i % 2 else f"k{i % 7}", i * 7 % 23 - 5) for i in range(400)], "k string, value long")
+    want, totals, tops = {}, {}, {}
+    for r in rows.orderBy("seq").collect():
+        want[r.seq] = (totals[r.k] if (before := tops.get(r.k)) is None and r.k in totals else before, totals.setdefault(r.k, 0) + r.value)
+        totals[r.k] += r.value
+        tops[r.k] = r.value if before is None else max(before, r.value)
+    got = {r.seq: r.running for r in keyed.running_total(rows, ["k"], F.col("value"), hot=40).collect()}
+    assert got == {i: t for i, (_, t) in want.items()}
+    got = {r.seq: r.m for r in max_before(rows, "seq", {"m": F.col("value")}, 50, ("k",)).collect()}
+    assert got == {i: m for i, (m, _) in want.items()}
+    assert [r.seq for r in numbered(rows.withColumn("at", F.when(F.col("seq") > 5, F.col("seq") * 3 % 400)), ["at", "seq"], "n", 30).orderBy("n").collect()][:6] == list(range(6))
+
+
+class Joined(aggregates.Aggregator):
+    """Order matters here, so a wrong merge would show."""
+
+    def create(self):
+        return ""
+
+    def add(self, acc, value):
+        return f"{acc}{value},"
+
+    def merge(self, a, b):
+        return a + b
+
+    def result(self, acc):
+        return acc.rstrip(",")
+
+
+def test_user_defined_aggregates_merge_parts_in_order(spark):
+    rows = vector(spark, [("a" if i % 4 else "b", i) for i in range(50)], "k string, value long").repartition(3)
+    got = {r.k: r.result for r in aggregates.aggregated(rows, ["k"], Joined(), "string", part=7).collect()}
+    assert got == {k: ",".join(str(i) for i in range(50) if bool(i % 4) == (k == "a")) for k in "ab"}
+    assert aggregates.aggregated(rows.limit(0), ["k"], Joined(), "string").count() == 0
+
+
 def test_percentiles_by_nearest_rank(spark):
     rows = spark.createDataFrame([(v,) for v in (5, 1, 4, 2, 3)], "v long")
     assert sorted(map(tuple, ranking.nearest_rank(rows, "v", [0, 50, 99, 100]).collect())) == [(0.0, 1), (50.0, 3), (99.0, 4), (100.0, 5)]

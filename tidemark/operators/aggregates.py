@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,13 +24,12 @@ def collect(col: str = "value", order: str = "seq") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order, col))), lambda x: x[col])
 
 
-def folded(create: Column, add: Callable[[Column, Column], Column], result: Callable[[Column], Column], col: str = "value", order: str = "seq") -> Column:
-    """A user-defined aggregate over the values in order of arrival: an accumulator, how a value goes in, what comes out."""
-    return F.aggregate(collect(col, order), create, add, result)
-
-
 class Aggregator:
-    """The contract of stateful aggregation in Python: create, add, result, merge."""
+    """A user-defined aggregate: create an accumulator, add a value, merge two accumulators, give the result.
+
+    Accumulators go from task to task, so they have to be pickled. merge has to be associative; values come in order
+    of arrival within a part, and parts in order of arrival, so it needn't be commutative.
+    """
 
     def create(self) -> Any:
         raise NotImplementedError
@@ -36,22 +37,34 @@ class Aggregator:
     def add(self, acc: Any, value: Any) -> Any:
         raise NotImplementedError
 
-    def result(self, acc: Any) -> Any:
+    def merge(self, a: Any, b: Any) -> Any:
         raise NotImplementedError
 
-    def merge(self, a: Any, b: Any) -> Any:
+    def result(self, acc: Any) -> Any:
         raise NotImplementedError
 
 
-class Sum(Aggregator):
-    def create(self) -> int:
-        return 0
+#: Rows of a key's part, by order of arrival.
+PART = 100_000
+
+
+def aggregated(rows: DataFrame, keys: list[str], aggregator: Aggregator, kind: str, col: str = "value", order: str = "seq", name: str = "result", part: int = PART) -> DataFrame:
+    """keys, name (of the SQL type kind): the aggregate of col over each key's rows.
+
+    Accumulators are made by part (a span of the order), so that no task has all of a hot key's rows, and merged by key.
+    """
 
-    def add(self, acc: int, value: int) -> int:
-        return acc + value
+    def partial(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        acc = aggregator.create()
+        for value in group.sort_values(order)[col].tolist():
+            acc = aggregator.add(acc, value)
+        return group[[*keys, "_part"]].iloc[:1].assign(_acc=[pickle.dumps(acc)])
 
-    def result(self, acc: int) -> int:
-        return acc
+    def final(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        accs = map(pickle.loads, group.sort_values("_part")["_acc"])
+        return group[keys].iloc[:1].assign(**{name: [aggregator.result(reduce(aggregator.merge, accs))]})
 
-    def merge(self, a: int, b: int) -> int:
-        return a + b
+    dealt = rows.select(*keys, order, col, F.floor(F.col(order) / part).alias("_part"))
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*keys).schema)
+    parts = dealt.groupBy(*keys, "_part").applyInPandas(partial, f"{named}, _part bigint, _acc binary")
+    return parts.groupBy(*keys).applyInPandas(final, f"{named}, {name} {kind}")

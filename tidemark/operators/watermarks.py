@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import max_before
@@ -30,5 +30,5 @@ def min_across(rows: DataFrame, channel: str, channels: int, wm: str = "wm_ms")
 
 def by_partition(rows: DataFrame, channel: str, bound_ms: int) -> DataFrame:
     """Each channel's own watermark after each of its rows."""
-    own = Window.partitionBy(channel).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("wm_ms", F.max("event_ms").over(own) - bound_ms)
+    rows = max_before(rows, "seq", {"_max": F.col("event_ms")}, keys=(channel,))
+    return rows.withColumn("wm_ms", F.greatest("_max", "event_ms") - bound_ms).drop("_max")

@@ -329,12 +329,12 @@ def chained_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DIS} SELECT seq, u, CAST(sum(value) OVER (PARTITION BY u ORDER BY seq) AS BIGINT) AS running, event_ms FROM d")
 def keyed_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.running(arrivals(spark, sf_dir), ["u"], F.sum("value")).select("seq", "u", "running", "event_ms")
+    return keyed.running_total(arrivals(spark, sf_dir), ["u"], F.col("value")).select("seq", "u", "running", "event_ms")
 
 
 @query(f"WITH {DIS} SELECT seq, u, count(*) OVER (PARTITION BY u ORDER BY seq) AS running, event_ms FROM d")
 def keyed_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.running(arrivals(spark, sf_dir), ["u"], F.count(F.lit(1))).select("seq", "u", "running", "event_ms")
+    return keyed.running_total(arrivals(spark, sf_dir), ["u"], F.lit(1)).select("seq", "u", "running", "event_ms")
 
 
 @query(f"WITH {DIS} SELECT seq, u, lag(value) OVER (PARTITION BY u ORDER BY seq) AS held FROM d")
@@ -352,15 +352,28 @@ def aggregating_state_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals(spark, sf_dir).groupBy("u").agg(aggregates.total().alias("total"), aggregates.count().alias("n"))
 
 
+class Summary(aggregates.Aggregator):
+    """Least, greatest, sum and number."""
+
+    def create(self) -> tuple | None:
+        return None
+
+    def add(self, acc: tuple | None, value: int) -> tuple:
+        return self.merge(acc, (value, value, value, 1))
+
+    def merge(self, a: tuple | None, b: tuple | None) -> tuple | None:
+        return a or b if a is None or b is None else (min(a[0], b[0]), max(a[1], b[1]), a[2] + b[2], a[3] + b[3])
+
+    def result(self, acc: tuple) -> dict:
+        return {"least": acc[0], "greatest": acc[1], "mean": acc[2] // acc[3]}
+
+
 @query(f"WITH {EV} SELECT k, min(value) AS least, max(value) AS greatest, CAST(sum(value) AS BIGINT) // count(*) AS mean FROM ev WHERE value >= 0 GROUP BY k")
 def user_defined_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, greatest and whole mean in one accumulator of the user's own."""
-    long = lambda x: F.lit(x).cast("bigint")
-    create = F.struct(long(None).alias("lo"), long(None).alias("hi"), long(0).alias("s"), long(0).alias("n"))
-    add = lambda a, v: F.struct(F.least(a["lo"], v).alias("lo"), F.greatest(a["hi"], v).alias("hi"), (a["s"] + v).alias("s"), (a["n"] + 1).alias("n"))
-    rows = ev(spark, sf_dir).where("value >= 0").withColumn("seq", F.col("event_id"))
-    found = rows.groupBy("k").agg(aggregates.folded(create, add, lambda a: a).alias("a"))
-    return found.select("k", F.col("a.lo").alias("least"), F.col("a.hi").alias("greatest"), F.expr("a.s div a.n").alias("mean"))
+    rows = ev(spark, sf_dir).where("value >= 0").select("k", "value", F.col("event_id").alias("seq"))
+    found = aggregates.aggregated(rows, ["k"], Summary(), "struct<least: bigint, greatest: bigint, mean: bigint>", part=20_000)
+    return found.select("k", "result.*")
 
 
 # Key groups.
@@ -409,7 +422,7 @@ KILL, SAVED = 6000, 4500
 
 def rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sink gets from a run that fails at KILL and one that goes on from what was saved at SAVED."""
-    rows = keyed.running(arrivals(spark, sf_dir), ["u"], F.sum("value")).select("u", "running", "seq")
+    rows = keyed.running_total(arrivals(spark, sf_dir), ["u"], F.col("value")).select("u", "running", "seq")
     first = source.until(rows, KILL).withColumn("attempt", F.lit(1))
     return first.unionByName(source.replay(rows, SAVED).withColumn("attempt", F.lit(2)))
 
