@@ -55,7 +55,7 @@ def test_decontamination_in_one_pass_and_in_several(spark):
     docs = spark.createDataFrame([(*r, "z", "z") for r in rows], "doc_id long, text string, n_hit string, item_id string")
     bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, doc_id string")
     known = [(i, t) for i, t in items if i is not None]
-    for most in (20_000, 2):
+    for most in (decontaminate.MAX_WINDOWS, 2):
         got = decontaminate.contamination(docs, bench, max_windows=most).collect()
         want = [(i, *brute_hits(t, known)) for i, t in rows]
         assert sorted(str((r.doc_id, r.n_words, r.n_hit, set(r["items"]))) for r in got) == sorted(map(str, want))
@@ -67,6 +67,19 @@ def test_decontamination_in_one_pass_and_in_several(spark):
     assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_a_benchmark_of_many_windows_is_one_scan(spark):
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 60_000, 209))) for k in range(1000)]
+    rows = [(k, " ".join([f"x{i}" for i in range(k)] + items[7 * k][1].split()[k : k + 12]) + ("" if k else " y" * 300_000)) for k in range(20)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs, bench)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: r for r in found.collect()}
+    for k, t in rows:
+        assert (got[k].n_words, got[k].n_hit, got[k]["items"]) == (len(t.split()), 12, [7 * k])
+        assert [t[h.start : h.end] for h in got[k].hits] == [" ".join(items[7 * k][1].split()[k : k + 12])]
+
+
 def brute_paragraphs(texts, least):
     found = []
     for i, t in sorted(texts.items()):

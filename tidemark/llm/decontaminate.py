@@ -1,12 +1,16 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised items, one scan of every whole text."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised items, one scan of every whole text.
+
+The automaton's alphabet numbers the items' words, two characters a word, so that a window of ten words takes twenty
+nodes however long the words are, and no node has very many children. A word that no item has leads to the root.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from math import isqrt
 
 import ahocorasick
-import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,55 +19,68 @@ from tidemark.llm.common import WORD_BYTES, map_rows, utf8, words
 
 WINDOW = 10
 
-#: Windows of one automaton, some 50 MB. Items with more windows in all are scanned for in several passes.
-MAX_WINDOWS = 20_000
+#: Windows of one automaton, at most: some 500 MB in a worker. A benchmark of more is scanned for in several passes.
+MAX_WINDOWS = 500_000
 
 SCHEMA = """doc_id long, n_words long, n_hit long, items array<long>,
             hits array<struct<first_word: long, end_word: long, start: long, end: long>>"""
 
-Windows = dict[bytes, tuple[int, set[int]]]
-
-
-def windows(items: Iterable[tuple[int, bytes]], width: int = WINDOW) -> Windows:
-    """Window (its words, spaced) -> its number of words and the items that have it."""
-    found: Windows = {}
-    for item, text in items:
-        w = words(text)
-        size = min(width, len(w))
-        for i in range(len(w) - size + 1 if w else 0):
-            found.setdefault(b" ".join(w[i : i + size]), (size, set()))[1].add(item)
-    return found
-
-
-def automaton(found: Windows) -> ahocorasick.Automaton:
-    """Over bytes as latin-1, so that positions are those of bytes. Spaces around keep words whole."""
-    made = ahocorasick.Automaton()
-    for window, (size, items) in found.items():
-        made.add_word(f" {window.decode('latin-1')} ", (size, frozenset(items)))
-    made.make_automaton()
-    return made
-
-
-def scan(text: bytes, made: ahocorasick.Automaton | None) -> tuple[int, int, list[int], list[tuple[int, int, int, int]]]:
+#: Ids and texts of items.
+Items = list[tuple[int, bytes]]
+
+
+class _Code(dict):
+    """Word -> its two characters; any other word has two that no window has."""
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0\0"
+
+
+class Index:
+    """The automaton, with each window's number of words and the items that have it."""
+
+    def __init__(self, items: Iterable[tuple[int, bytes]], width: int = WINDOW) -> None:
+        split = [(item, words(text)) for item, text in items]
+        known = {w: k for k, w in enumerate(dict.fromkeys(w for _, own in split for w in own))}
+        base = isqrt(len(known)) + 1
+        # The first character of a word is of one alphabet, the second of another: no match begins within a word.
+        self.code = _Code((w, chr(0x10000 + k // base) + chr(0x80000 + k % base)) for w, k in known.items())
+        self.size: list[int] = []
+        self.items: list[list[int]] = []
+        at: dict[str, int] = {}
+        for item, own in split:
+            n = min(width, len(own))
+            text = "".join(map(self.code.__getitem__, own))
+            for i in range(len(own) - n + 1 if own else 0):
+                k = at.setdefault(text[2 * i : 2 * (i + n)], len(at))
+                if k == len(self.size):
+                    self.size.append(n)
+                    self.items.append([])
+                if item not in self.items[k][-1:]:
+                    self.items[k].append(item)
+        self.automaton = ahocorasick.Automaton()
+        for window, k in at.items():
+            self.automaton.add_word(window, k)
+        self.automaton.make_automaton()
+
+
+def scan(text: bytes, index: Index) -> tuple[int, int, list[int], list[tuple[int, int, int, int]]]:
     """Words, words hit, items, and maximal runs of hit words with their code points in the text."""
     tokens = text.translate(WORD_BYTES).split()
-    if made is None or not tokens:
+    if not index.size or not tokens:
         return len(tokens), 0, [], []
-    joined = f" {b' '.join(tokens).decode('latin-1')} "
-    places, items = [], set()
-    for end, (size, own) in made.iter(joined):
-        places.append((end, size))
-        items |= own
-    if not places:
+    # Where the last word of a window ends, and the window.
+    met = [(end // 2 + 1, k) for end, k in index.automaton.iter("".join(map(index.code.__getitem__, tokens)))]
+    if not met:
         return len(tokens), 0, [], []
-    ends = np.cumsum([len(t) + 1 for t in tokens])  # of each word, the space behind it counted
     runs: list[list[int]] = []
-    for last, size in sorted((int(np.searchsorted(ends, end)), size) for end, size in places):
-        first = last - size + 1
+    for end, k in met:
+        first = end - index.size[k]
         while runs and first <= runs[-1][1]:
             first = min(first, runs.pop()[0])
-        runs.append([first, last + 1])
-    return len(tokens), sum(b - a for a, b in runs), sorted(items), [(a, b, *span) for (a, b), span in zip(runs, _spans(text, tokens, runs), strict=True)]
+        runs.append([first, end])
+    found = sorted({item for k in {k for _, k in met} for item in index.items[k]})
+    return len(tokens), sum(b - a for a, b in runs), found, [(a, b, *span) for (a, b), span in zip(runs, _spans(text, tokens, runs), strict=True)]
 
 
 def _spans(text: bytes, tokens: list[bytes], runs: list[list[int]]) -> list[tuple[int, int]]:
@@ -84,17 +101,17 @@ def _spans(text: bytes, tokens: list[bytes], runs: list[list[int]]) -> list[tupl
     return out
 
 
-#: By the broadcast value's id; it's kept with the automaton, so that no other value gets that id.
-_built: dict[int, tuple[Windows, ahocorasick.Automaton]] = {}
+#: By the broadcast value's id and the width; the value is kept with the index, so that no other one gets that id.
+_built: dict[tuple[int, int], tuple[Items, Index]] = {}
 
 
-def _automaton(sent: Broadcast) -> ahocorasick.Automaton | None:
+def _index(sent: Broadcast, width: int) -> Index:
     """Built once in a worker."""
-    found = sent.value
-    if found and id(found) not in _built:
+    key = id(sent.value), width
+    if key not in _built:
         _built.clear()
-        _built[id(found)] = (found, automaton(found))
-    return _built[id(found)][1] if found else None
+        _built[key] = (sent.value, Index(sent.value, width))
+    return _built[key][1]
 
 
 #: Runs of several passes, sorted by their first word, made maximal.
@@ -118,28 +135,33 @@ def contamination(
 ) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids, sorted), hits (runs of hit words as words and as code points), a row a row.
 
-    Items are gathered in passes of max_windows windows at most, and a pass is what is broadcast; more passes
-    scan the texts again and are put together by row. Null texts have no words; items without words or id match
-    nothing; repeated items count once, repeated documents stay repeated. No items: no hits. Other columns aren't read.
+    The items' texts are broadcast, and workers make the automaton of them. The bound of what is broadcast is
+    max_windows, or one item where that has more: a larger benchmark is taken in passes, of which the driver holds one
+    at a time, each of them a scan of the texts, put together by row. Null texts have no words; items without words or
+    id match nothing; repeated items count once, repeated documents stay repeated. A very long text is scanned as a
+    whole, and its hits are a row's. No items: no hits. Other columns aren't read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    passes: list[Windows] = [{}]
-    wanted = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long"), utf8(F.col(item_text_col)))
-    for item, text in wanted.toLocalIterator():
-        for window, (size, own) in windows([(item, bytes(text))], width).items():
-            if len(passes[-1]) >= max_windows and window not in passes[-1]:
-                passes.append({})
-            passes[-1].setdefault(window, (size, set()))[1].update(own)
+    wanted = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("item"), utf8(F.col(item_text_col)).alias("text"))
+    passes, own, windows = [], [], 0
+    for item, text in wanted.distinct().toLocalIterator():
+        n = len(words(bytes(text)))
+        more = max(1, n - width + 1) if n else 0
+        if own and windows + more > max_windows:
+            passes.append(spark.sparkContext.broadcast(own))
+            own, windows = [], 0
+        if more:
+            own.append((item, bytes(text)))
+            windows += more
+    passes.append(spark.sparkContext.broadcast(own))
 
     # Rows of several passes are put together by id and text; equal rows have equal results, so their number is enough.
     rows = rows.select("doc_id", (F.sha2("text", 256) if len(passes) > 1 else F.lit("")).alias("key"), "text")
 
-    def one(found: Windows) -> DataFrame:
-        sent = spark.sparkContext.broadcast(found)
-
+    def one(sent: Broadcast) -> DataFrame:
         def make() -> Callable[..., tuple]:
-            made = _automaton(sent)
+            made = _index(sent, width)
 
             def row(i: int, key: str, text: bytes) -> tuple:
                 n, hit, own, hits = scan(text, made)
