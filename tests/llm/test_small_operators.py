@@ -122,25 +122,60 @@ def brute_rule(host, path):
     return max(fit, key=lambda r: len(r.name), default=None)
 
 
+def brute_mined(baskets):
+    """All combinations of tokens, those that the same rows have being one, in the order in which they decide."""
+    least = math.ceil(urls.SUPPORT * len(baskets) - 1e-9)
+    where = {}
+    for k, (t, _) in enumerate(baskets):
+        for x in set(t):
+            where.setdefault(x, set()).add(k)
+    lists = {}
+    for x in sorted(where):
+        lists.setdefault(frozenset(where[x]), []).append(x)
+    lists = {x[0]: x for rows, x in lists.items() if len(rows) >= least}
+    seen, with_label = Counter(), Counter()
+    for t, v in baskets:
+        own = sorted(set(t) & lists.keys())
+        for n in range(1, len(own) + 1):
+            for c in itertools.combinations(own, n):
+                seen[c] += 1
+                with_label[c, v] += 1
+    found = [(c, v, n) for (c, v), n in with_label.items() if n >= least and n / seen[c] >= urls.CONFIDENCE]
+    return sorted((-n / seen[c], -n / len(baskets), len(c), " ".join(c), v, [lists[x] for x in c]) for c, v, n in found)
+
+
+def test_mining_ends_whatever_the_length_of_urls(spark):
+    """Equal paths of many parts, and nested ones, whose combinations would be without number."""
+    deep = [([f"p{i:02}" for i in range(30)] + ["top=net"], "block")] * 40 + [(["q", "r"], "allow")] * 30 + [(["q", "top=net"], "allow"), (["r"], "block"), (["r", "s"], "block")] * 10
+    nested = [([f"n{i:02}" for i in range(k)], "allow" if k % 3 else "block") for k in range(1, 31) for _ in range(4)]
+    for rows in (deep, deep + nested):
+        made = spark.createDataFrame([(sorted(t), v) for t, v in rows], "tokens array<string>, label string")
+        got = urls.mine(made)
+        found = {(tuple(x[0] for x in r.antecedent), r.label): (r.confidence, r.support) for r in got.collect()}
+        assert all(len(c) <= urls.MOST_TOKENS for c, _ in found)
+        for (c, v), (confidence, support) in found.items():
+            has = [w for t, w in rows if set(c) <= set(t)]
+            assert abs(confidence - has.count(v) / len(has)) < 1e-9 and abs(support - has.count(v) / len(rows)) < 1e-9
+        sets = made.select("tokens").distinct()
+        best = {tuple(r.tokens): r.label for r in urls.match(sets, got).collect()}
+        if rows is deep:
+            mined = brute_mined([([x for x in t if x[0] != "p" or x == "p00"], v) for t, v in rows])
+            for t in {tuple(sorted(t)) for t, _ in rows}:
+                assert best.get(t) == next((v for *_, v, c in mined if all(set(x) & set(t) for x in c)), None)
+    assert urls.mine(made.limit(0)).count() == 0
+
+
 def test_url_query_against_brute_force(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     made = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", urls.tokens(urls.F.col("url"), urls.host(urls.F.col("url")), urls.path(urls.F.col("url"))).alias("t"))
     tokens = {r.page_id: r.t for r in made.collect()}
     rules = {i: brute_rule(*brute_url(u)) for i, u in pages.items()}
-    baskets = [(set(tokens[i]), r.verdict) for i, r in rules.items() if r]
-    least = math.ceil(urls.SUPPORT * len(baskets))
-    seen, with_label = Counter(), Counter()
-    for t, v in baskets:
-        for n in range(1, urls.MOST_TOKENS + 1):
-            for c in itertools.combinations(sorted(t), n):
-                seen[c] += 1
-                with_label[c, v] += 1
-    mined = sorted((-n / seen[c], -n / len(baskets), len(c), " ".join(c), v, c) for (c, v), n in with_label.items() if n >= least and n / seen[c] >= urls.CONFIDENCE)
+    mined = brute_mined([(tokens[i], r.verdict) for i, r in rules.items() if r])
     got = {r.page_id: r for r in queries.op9_url_filter(spark, SMALL).collect()}
     assert got.keys() == pages.keys()
     for i, u in pages.items():
         host, path = brute_url(u)
-        want = rules[i].verdict if rules[i] else next((v for *_, v, c in mined if set(c) <= set(tokens[i])), "allow")
+        want = rules[i].verdict if rules[i] else next((v for *_, v, c in mined if all(set(x) & set(tokens[i]) for x in c)), "allow")
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rules[i] and rules[i].name, want)
     assert any(r is None for r in rules.values())
 
