@@ -37,7 +37,27 @@ IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-IBAN = r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?"
+# Characters of an account number by country.
+IBAN_SIZES = """
+    AD 24 AE 23 AL 28 AT 20 AZ 28 BA 20 BE 16 BG 22 BH 22 BR 29 BY 28 CH 21 CR 22 CY 28 CZ 24 DE 22 DK 18 DO 28 EE 20
+    EG 29 ES 24 FI 18 FO 18 FR 27 GB 22 GE 22 GI 23 GL 18 GR 27 GT 28 HR 21 HU 28 IE 22 IL 23 IQ 23 IS 26 IT 27 JO 30
+    KW 30 KZ 20 LB 28 LC 32 LI 21 LT 20 LU 20 LV 21 LY 25 MC 27 MD 24 ME 22 MK 19 MR 27 MT 31 MU 30 NL 18 NO 15 PK 24
+    PL 28 PS 29 PT 25 QA 29 RO 24 RS 22 SA 24 SC 31 SE 24 SI 19 SK 24 SM 27 ST 25 SV 28 TL 23 TN 24 TR 26 UA 29 VA 22
+    VG 24 XK 20
+""".split()
+
+
+def iban() -> str:
+    """Of each country as many characters as its numbers have, alone or in groups of four, whatever stands behind them."""
+    sizes = dict(zip(IBAN_SIZES[::2], map(int, IBAN_SIZES[1::2]), strict=True))
+    parts = []
+    for size in sorted(set(sizes.values())):
+        of, (fours, rest) = "|".join(c for c, n in sizes.items() if n == size), divmod(size - 4, 4)
+        parts.append(rf"({of})[0-9]{{2}}(\x20?[A-Z0-9]{{4}}){{{fours}}}" + rf"\x20?[A-Z0-9]{{{rest}}}" * bool(rest))
+    return f"({'|'.join(parts)})"
+
+
+IBAN = iban()
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 
 OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -63,22 +83,40 @@ KINDS = (
 #: A span of a kind that isn't base needs LEAST; context words within REACH code points before a span add BOOST.
 LEAST, BOOST, REACH = 0.5, 0.4, 40
 
+#: Matches of a block.
+BLOCK = 256
+
 NONE = "cast(array() AS array<struct<kind: string, start: int, end: int, score: double>>)"
 PIECES = "cast(array() AS array<struct<m: string, g: string, h: string, start: int>>)"
 
 
-def _spans(kind: Kind) -> str:
-    """SQL for the kind's spans, from its matches m_kind and the stretches g_kind between them."""
+def _block(m: str, b: str) -> str:
+    """SQL for the places, from 0, of the matches of a block."""
+    return f"sequence({b} * {BLOCK}, least(size({m}), ({b} + 1) * {BLOCK}) - 1)"
+
+
+def _offsets(kind: Kind) -> str:
+    """SQL for where each block of the kind's matches begins in the text."""
     m, g = f"m_{kind.name}", f"g_{kind.name}"
-    pieces = f"""aggregate(sequence(1, size({m})), named_struct('at', 0, 'out', {PIECES}), (a, i) -> named_struct(
-        'at', a.at + length({g}[i - 1]) + length({m}[i - 1]),
-        'out', concat(a.out, array(named_struct('m', {m}[i - 1], 'g', {g}[i - 1], 'h', {g}[i], 'start', a.at + length({g}[i - 1])))))
-        , a -> a.out)"""
+    size = f"aggregate({_block(m, 'b')}, 0, (n, i) -> n + length({g}[i]) + length({m}[i]))"
+    none = "cast(array() AS array<int>)"
+    blocks = f"sequence(0, (size({m}) - 1) div {BLOCK})"
+    return f"if(size({m}) = 0, {none}, slice(aggregate(transform({blocks}, x -> int(x)), array(0), (o, b) -> concat(o, array(element_at(o, -1) + {size}))), 1, int((size({m}) - 1) div {BLOCK}) + 1))"
+
+
+def _spans(kind: Kind) -> str:
+    """SQL for the kind's spans, from its matches m_kind, the stretches g_kind between them and where blocks begin."""
+    m, g, o = f"m_{kind.name}", f"g_{kind.name}", f"o_{kind.name}"
+    # Lists are only ever added to within a block of matches, so that many matches take no square of steps.
+    pieces = f"""flatten(transform({o}, (at, b) -> aggregate({_block(m, 'b')}, named_struct('at', at, 'out', {PIECES}), (a, i) -> named_struct(
+        'at', a.at + length({g}[i]) + length({m}[i]),
+        'out', concat(a.out, array(named_struct('m', {m}[i], 'g', {g}[i], 'h', {g}[i + 1], 'start', a.at + length({g}[i])))))
+        , a -> a.out)))"""
     score = f"least(1D, {kind.score}D + if(rlike(lower(right(x.g, {REACH})), '{kind.context}'), {BOOST}D, 0D))"
     spans = f"transform(filter({pieces}, x -> {kind.keep}), x -> named_struct('kind', '{kind.name}', 'start', x.start, 'end', x.start + length(x.m), 'score', {score}))"
     if not kind.base:
         spans = f"filter({spans}, x -> x.score >= {LEAST}D)"
-    return f"if(size({m}) = 0, {NONE}, {spans})"
+    return f"if(size({o}) = 0, {NONE}, {spans})"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -92,6 +130,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds:
     empty = "cast(array() AS array<string>)"
     rows = rows.selectExpr("*", *(f"if({k.hint}, regexp_extract_all(text, r'{k.java}', 0), {empty}) AS m_{k.name}" for k in kinds))
     rows = rows.selectExpr("*", *(f"if(size(m_{k.name}) > 0, split(text, r'{k.java}', -1), {empty}) AS g_{k.name}" for k in kinds))
+    rows = rows.selectExpr("*", *(f"{_offsets(k)} AS o_{k.name}" for k in kinds))
     return rows.selectExpr("doc_id", "text", *keep, f"concat({', '.join(map(_spans, kinds))}) AS spans")
 
 
