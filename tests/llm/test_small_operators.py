@@ -48,6 +48,13 @@ def test_chat_odd_rows(spark):
     assert chat.render(made.limit(0)).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    turns = [(c, i, "user", f"turn {i}") for c, n in ((1, 5000), (2, 4999), (3, 256), (4, 257), (5, 1)) for i in range(n)] + [(6, i, "user", f"turn {i + (i > 300)}") for i in range(512)]
+    got = {r.conv_id: r for r in chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert {i: r.n_turns for i, r in got.items()} == {1: 5000, 6: 512}
+    assert got[1].text.count("<|im_start|>") == 5000
+
+
 def test_bpe_query_matches_the_library(spark):
     own = Tokenizer.from_file(BPE)
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}

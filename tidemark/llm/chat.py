@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 #: What a rendered turn is: the usual mark-up of role and text.
 TURN = "concat('<|im_start|>', coalesce(t.role, ''), '\\n', coalesce(t.text, ''), '<|im_end|>\\n')"
 
-#: A turn with the hash of all before it; lengths part role from text, and null differs from empty.
-STEP = """md5(concat(last, ':', coalesce(concat(length(t.role), '=', t.role), '-'), ':',
+#: A turn t with the last of the hashes of all before it; lengths part role from text, and null differs from empty.
+STEP = """md5(concat(element_at(all, -1), ':', coalesce(concat(length(t.role), '=', t.role), '-'), ':',
                coalesce(concat(length(t.text), '=', t.text), '-')))"""
 
+#: Turns of a block: a list of hashes is only ever added to within one, so that many turns take no square of steps.
+BLOCK = 256
+
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turns (sorted by turn, then role and text; repeated rows once), prefixes (a hash for each turn, of
     all up to it)."""
     rows = turns.select(F.col(id_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
-    rolling = f"""aggregate(turns, named_struct('last', '', 'all', cast(array() AS array<string>)), (a, t) -> named_struct(
-        'last', {STEP.replace('last', 'a.last', 1)}, 'all', concat(a.all, array({STEP.replace('last', 'a.last', 1)}))), a -> a.all)"""
+    # Each block's list begins with the last hash of the block before it.
+    block = f"aggregate(slice(turns, int(b) * {BLOCK} + 1, {BLOCK}), array(element_at(element_at(done, -1), -1)), (all, t) -> concat(all, array({STEP})))"
+    blocks = f"aggregate(sequence(0, (size(turns) - 1) div {BLOCK}), array(array('')), (done, b) -> concat(done, array({block})))"
+    rolling = f"flatten(transform(slice({blocks}, 2, size(turns)), x -> slice(x, 2, {BLOCK})))"
     return whole.withColumn("prefixes", F.expr(rolling))
 
 
