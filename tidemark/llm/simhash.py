@@ -107,6 +107,9 @@ def clusters(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     label = F.coalesce("component", "fp").alias("label")
     labelled = cut(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", label))
     a = variants(labelled, max_bits)
+    # Most variants have fingerprints of one label only, however many these are: they link nothing anew.
+    mixed = a.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    a = cut(a.withColumn("h", F.xxhash64("key")).join(mixed.withColumn("h", F.xxhash64("key")), ["key", "h"]).drop("h"))
     b = a.select("key", F.col("fp").alias("other"), F.col("label").alias("other_label"))
     fp, other = F.col("fp"), F.col("other")
     verified = (fp < other) & _near(fp, other, max_bits) & (F.col("label") != F.col("other_label")) & _first_shared(fp, other, F.col("key"), max_bits)
