@@ -81,6 +81,17 @@ def test_bpe_odd_texts(spark):
     assert bpe.encode(made.limit(0), BPE).count() == 0
 
 
+def test_bpe_forgets_little_by_little(monkeypatch):
+    own, lib = bpe.Tokenizer(BPE), Tokenizer.from_file(BPE)
+    monkeypatch.setattr(bpe, "MEMORY", 40)
+    rng = np.random.default_rng(7)
+    for k in range(30):
+        texts = [" ".join("".join(chr(97 + x) for x in rng.integers(0, 5, rng.integers(1, 6))) + "." * (i % 7 == 0) + "5abc " * (i % 9 == 0) for i in range(60)) for _ in range(5)]
+        for packed, t in zip(own.encode_batch(texts), texts, strict=True):
+            assert np.frombuffer(packed, dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert k < 3 or own.known.before
+
+
 def test_bpe_pairs_and_merges_agree():
     own = bpe.Tokenizer(BPE)
     rng = np.random.default_rng(2)

@@ -7,6 +7,7 @@ import json
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -25,8 +26,12 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 SPACES = regex.compile(f"[{SPACE}]")
 
-#: Words, and stretches from space to space, whose encoding a worker remembers; beyond, it forgets all and goes on.
-MEMORY = 250_000
+#: Words, and stretches from space to space, whose encoding a worker remembers at least, and their bytes at most. Twice as many
+#: are there at the end of a generation.
+MEMORY, MEMORY_BYTES = 150_000, 30_000_000
+
+#: Pairs of tokens that a worker remembers whether they can stand side by side.
+MEMORY_PAIRS = 250_000
 
 #: Bytes of a word up to which looking for the best merge again and again is quicker than a heap.
 SHORT = 24
@@ -41,6 +46,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """What has been met, in two generations: what the last one didn't meet again is forgotten, little by little."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict = {}
+        self.bytes = 0
+
+    def __missing__(self, key: object) -> object:
+        self[key] = found = self.before[key]
+        return found
+
+    def lacks(self, keys: Iterable) -> list:
+        """Those of the keys that neither generation has."""
+        return [k for k in keys if k not in self and k not in self.before]
+
+    def learn(self, keys: list, values: Iterable) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.bytes += sum(map(len, keys))
+
+    def age(self) -> None:
+        """A new generation, where this one has become full."""
+        if len(self) > MEMORY or self.bytes > MEMORY_BYTES:
+            self.before = dict(self)
+            self.clear()
+            self.bytes = 0
+
+
 class Tokenizer:
     """A byte-level BPE tokenizer file; encode_words and decode are exact."""
 
@@ -67,8 +100,7 @@ class Tokenizer:
         for t, i in self.special.items():
             self.token[i] = t.encode()
         self._tables(ids)
-        self.known: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes | None] = {}
+        self.known, self.stretches = Memory(), Memory()
         self.pairs: dict[int, bool] = {}
         parts = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
         self.flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
@@ -171,7 +203,7 @@ class Tokenizer:
                     heapq.heappush(heap, (new[0], k))
         return [i for i in ids if i >= 0]
 
-    def learn(self, new: Iterable[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Encodes words into self.known, as packed unsigned 32-bit integers."""
         raw = [w.encode() for w in new]
         found = [self.greedy(w) for w in raw]
@@ -181,7 +213,7 @@ class Tokenizer:
             keys = flat[:-1] << 32 | flat[1:]
             distinct, place = np.unique(keys, return_inverse=True)
             new_pairs = np.array([k for k in distinct.tolist() if k not in self.pairs], dtype=np.int64)
-            if len(self.pairs) > MEMORY:
+            if len(self.pairs) > MEMORY_PAIRS:
                 self.pairs.clear()
                 new_pairs = distinct
             self.pairs.update(zip(new_pairs.tolist(), self._apart(new_pairs >> 32, new_pairs & 0xFFFFFFFF).tolist(), strict=True))
@@ -189,7 +221,7 @@ class Tokenizer:
             fails[ends[:-1] - 1] = False  # the pair across two words
             for k in np.unique(np.searchsorted(ends, np.flatnonzero(fails), side="right")):
                 found[k] = self.merge(raw[k])
-        self.known.update(zip(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in found), strict=True))
+        self.known.learn(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in found))
 
     def pieces(self, text: str) -> Iterator[str | int]:
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
@@ -200,24 +232,24 @@ class Tokenizer:
 
     def _words(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed; the texts hold no special tokens."""
-        cut = [self.words.findall(t) for t in texts]
-        self.learn([w for w in {w for ws in cut for w in ws} if w not in self.known])
+        # Letters alone behind a space are a word.
+        cut = [[t] if t[:1] == " " and t[1:].isalpha() and t.isascii() else self.words.findall(t) for t in texts]
+        self.learn(self.known.lacks(set(chain.from_iterable(cut))))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
 
     def _stretches(self, new: list[str]) -> None:
         """A space between two others than white space always starts a word, so what's from there to the next can be
         encoded by itself. None: it starts or ends with white space, or is empty."""
         sound = [x for x in new if x and not SPACES.match(x[0]) and not SPACES.match(x[-1])]
-        self.stretches.update(dict.fromkeys(new))
-        self.stretches.update(zip(sound, self._words([f" {x}" for x in sound]), strict=True))
+        found = dict.fromkeys(new) | dict(zip(sound, self._words([f" {x}" for x in sound]), strict=True))
+        self.stretches.learn(new, map(found.__getitem__, new))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        for memory in (self.known, self.stretches):
-            if len(memory) > MEMORY:
-                memory.clear()
+        self.known.age()
+        self.stretches.age()
         cut = [[p if isinstance(p, int) else p.split(" ") for p in self.pieces(t)] for t in texts]
-        self._stretches([x for x in {x for ps in cut for p in ps if not isinstance(p, int) for x in p[1:]} if x not in self.stretches])
+        self._stretches(self.stretches.lacks({x for ps in cut for p in ps if not isinstance(p, int) for x in p[1:]}))
         # What stands before the first space goes by words, and so does the whole where white space is more than single spaces.
         done = [[None if isinstance(p, int) else list(map(self.stretches.__getitem__, p[1:])) for p in ps] for ps in cut]
         rest = []
