@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ from tidemark.llm.common import cut
 #: Rows of a shard and of a page, entries of an inner page, queries of a block.
 SHARD, PAGE, FANOUT, BLOCK = 8192, 1024, 16, 256
 
+#: Blocks of queries that a task takes to a shard.
+BLOCKS = 64
+
+
 @dataclass
 class Node:
     """A page: either rows (ids, vectors) or children. reach: each entry's distance to centre, for a child with its radius."""
@@ -134,7 +139,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     """query_id, rank (from 1), vec_id, score: for rows whose id is divisible by every, the k largest inner products.
 
     Candidates are all rows with another id and as many components; ties go to the smaller id, repeated rows count as
-    often as they are there, equal queries once. Fewer than k candidates are all returned; no rows give no rows.
+    often as they are there, equal queries once; an empty vector has product 0 with others. Fewer than k candidates are
+    all returned; no rows give no rows. A vector of very many components is a row, and so fits in one.
     Scores have to be below 2 ** 53. Other columns aren't read.
     """
     rows = cut(quantised(vectors, id_col, vec_col, scale))
@@ -155,8 +161,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     blocks = -(-queries.count() // BLOCK) or 1
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int"))
     packed = queries.groupBy("size", "block").agg(F.collect_list(F.struct("vec_id", "x")).alias("queries"))
-    # A stated query set against all rows: each block of queries meets each shard's tree once.
-    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # A stated query set against all rows: each block of queries meets each shard's tree once, some blocks a task.
+    parts = -(-blocks // BLOCKS)
+    packed = packed.withColumn("part", F.col("block") % parts).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    trees = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, Node] | None = None
@@ -168,12 +176,12 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
                 out = []
                 for q in batch.column("queries")[i].as_py():
                     x = np.array(q["x"], dtype=float)
-                    key = hash(x.tobytes())
+                    key = xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63
                     out += [(q["vec_id"], key, i, s) for s, i in search(last[1], x, q["vec_id"], k)]
                 cols = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "key", "vec_id", "score"])
 
-    found = packed.join(trees, ["size", "shard"]).select("queries", "tree").mapInArrow(run, "query_id long, key long, vec_id long, score long")
+    found = packed.join(trees, ["size", "shard", "part"]).select("queries", "tree").mapInArrow(run, "query_id long, key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
