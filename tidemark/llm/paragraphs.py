@@ -15,11 +15,12 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, WORD_BYTES, cut, map_rows, release, remove, utf8, words, written
+from tidemark.llm.common import MOST_IDS, WORD_BYTES, cut, map_rows, release, remove, small_batches, utf8, words, written
 from tidemark.llm.components import components
 
 #: Words of a shingle, least similarity, words that a text or line needs to count.
@@ -109,8 +110,11 @@ def bands(own: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         # Each permutation's least values by line; the cell behind the last shingle only keeps the ends in range.
         all_ = np.append(grams(own, WIDTH), np.uint64(2**64 - 1))
         cuts = np.stack([first[long], end[long] - WIDTH + 1], axis=1).ravel()
-        for k in range(BANDS * ROWS):
-            out[long, k // ROWS] = _mixed(out[long, k // ROWS] * _MIX + np.minimum.reduceat(all_ * _FACTOR[k] + _ADD[k], cuts)[::2])
+        least = np.stack([np.minimum.reduceat(all_ * _FACTOR[k] + _ADD[k], cuts)[::2] for k in range(BANDS * ROWS)])
+        value = np.zeros((BANDS, len(long)), dtype=np.uint64)
+        for r in range(ROWS):
+            value = value * _MIX + least[r::ROWS]
+        out[long] = _mixed(value).T
     for i in np.flatnonzero(short):
         out[i] = _mixed(grams(own[first[i] : end[i]], int(end[i] - first[i])) * _FACTOR[:BANDS])
     return out.view(np.int64)
@@ -180,36 +184,45 @@ def links(members: list[tuple[int, int, int, bytes]], first: int, second: int, s
     return out
 
 
-def alike(a: list[int], b: list[int], anchors: list[tuple[int, int]], least: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
-    """Anchors (i, j), places in hashed words a and b -> (from, up to, from in b) of the stretches of a around them.
+def alike(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, least: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """Anchors (i, j), places in hashed words x and y -> (from, up to, from in y) of the stretches of x around them.
 
     A stretch runs along one diagonal: it begins with the run of equal words that an anchor is in, takes in the nearest
-    further runs of a shingle's words or more as long as the shingles of both sides are similar, and has least words.
+    further runs of a shingle's words or more while the shingles of both sides, place by place, are similar, and has
+    least words. At last its sides' sets of shingles are compared.
     """
-    x, y, out = np.array(a), np.array(b), []
-    for shift in sorted({j - i for i, j in anchors}):
+    out = []
+    for shift in np.unique(j - i).tolist():
         low, high = max(0, -shift), min(len(x), len(y) - shift)
-        edges = np.diff(np.concatenate([[False], x[low:high] == y[low + shift : high + shift], [False]]).astype(np.int8))
-        runs = [(s + low, e + low) for s, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True) if e - s >= WIDTH]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], x[low:high] == y[low + shift : high + shift], [False]]).astype(np.int8))) + low
+        edges = edges.reshape(-1, 2)
+        runs = edges[edges[:, 1] - edges[:, 0] >= WIDTH].tolist()
         done = -1
-        for i in sorted(i for i, j in anchors if j - i == shift):
-            k = next((k for k, (s, e) in enumerate(runs) if s <= i < e), None)
-            if k is None or i < done:
+        for at in np.searchsorted([s for s, _ in runs], np.sort(i[j - i == shift]), side="right").tolist():
+            first = last = at - 1
+            if first <= done:
                 continue
-            first = last = k
+            (s, e), both = runs[first], runs[first][1] - runs[first][0] - WIDTH + 1
             while True:
+                # The nearer side first; equal shingles and all of either side.
                 wider = []
-                if first and runs[first][0] - runs[first - 1][1] <= GAP:
-                    wider.append((first - 1, last))
-                if last + 1 < len(runs) and runs[last + 1][0] - runs[last][1] <= GAP:
-                    wider.append((first, last + 1))
-                sides = ((f, n, runs[f][0], runs[n][1]) for f, n in wider)
-                found = next(((f, n) for f, n, s, e in sides if similar(set(shingles(a[s:e])), set(shingles(b[s + shift : e + shift])), similarity)), None)
-                if found is None:
+                if first and s - runs[first - 1][1] <= GAP:
+                    wider.append((s - runs[first - 1][1], first - 1, last, first - 1))
+                if last + 1 < len(runs) and runs[last + 1][0] - e <= GAP:
+                    wider.append((runs[last + 1][0] - e, first, last + 1, last + 1))
+                for _, f, n, new in sorted(wider):
+                    more = both + runs[new][1] - runs[new][0] - WIDTH + 1
+                    if more >= similarity * (2 * (runs[n][1] - runs[f][0] - WIDTH + 1) - more):
+                        first, last, both, s, e = f, n, more, runs[f][0], runs[n][1]
+                        break
+                else:
                     break
-                first, last = found
-            s, e = runs[first][0], runs[last][1]
-            done = e
+            if first < last and e - s >= least:
+                sides = (set(shingles(side)) for side in (x[s:e].tolist(), y[s + shift : e + shift].tolist()))
+                if not similar(*sides, similarity):
+                    first = last = at - 1
+                    s, e = runs[first]
+            done = last
             if e - s >= least:
                 out.append((s, e, s + shift))
     return out
@@ -405,8 +418,9 @@ def _stretches(read: DataFrame, rows: DataFrame, similarity: float, least_passag
     located = cut(_join(hits, ranked, "same").select("key", F.shiftleft("rank", WORD).bitwiseOR(F.col("word").cast("long")).alias("place")))
     kept = located.groupBy("key").agg(F.min("place").alias("kept"))
     pairs = _join(located, kept, "key").where("place != kept")
-    pairs = pairs.select("place", "kept", F.shiftright("place", CELL).alias("cell"), F.shiftright("kept", CELL).alias("other"))
-    pairs = cut(pairs.groupBy("cell", "other").agg(F.collect_set(F.struct("place", "kept")).alias("anchors")))  # a block's marks
+    inside = F.shiftleft(F.col("place").bitwiseAND(F.lit(BLOCK - 1)), CELL).bitwiseOR(F.col("kept").bitwiseAND(F.lit(BLOCK - 1))).cast("int")
+    pairs = pairs.select(F.shiftright("place", CELL).alias("cell"), F.shiftright("kept", CELL).alias("other"), inside.alias("inside"))
+    pairs = cut(pairs.groupBy("cell", "other").agg(F.collect_set("inside").alias("anchors")))  # places within two blocks
 
     cells = pairs.select("cell").unionByName(pairs.select(F.col("other").alias("cell"))).distinct()
     cells = cells.groupBy(F.shiftright("cell", WORD - CELL).alias("rank")).agg(F.collect_set(F.col("cell").bitwiseAND(F.lit((1 << WORD - CELL) - 1)).cast("int")).alias("blocks"))
@@ -425,19 +439,24 @@ def _stretches(read: DataFrame, rows: DataFrame, similarity: float, least_passag
     parts, path = written(parts.dropDuplicates(["cell"]), "blocks")
     release(rows.sparkSession)
 
-    def lay() -> Callable[..., tuple]:
-        low, names, least = (1 << WORD) - 1, ("a", "b", "kept"), min(least_passage, AROUND)
-
-        def row(anchors: list[dict], first: int, own: list[int], other_first: int, others: list[int]) -> tuple:
-            rank, kept_rank = anchors[0]["place"] >> WORD, anchors[0]["kept"] >> WORD
-            found = alike(own, others, [((x["place"] & low) - first, (x["kept"] & low) - other_first) for x in anchors], least, similarity)
-            return rank, [dict(zip(names, (first + s, first + e, kept_rank << WORD | other_first + j), strict=True)) for s, e, j in found]
-
-        return row
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_text, least = (1 << WORD - CELL) - 1, min(least_passage, AROUND)
+        for batch in batches:
+            out: list[list[int]] = [[], [], [], []]
+            cell, other, first, other_first = (batch.column(k).to_numpy() for k in range(4))
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[4:]]
+            for k in range(batch.num_rows):
+                anchors, own, others = (values[at[k] : at[k + 1]] for at, values in lists)
+                a, b = (int(c[k] & in_text) * BLOCK - int(f[k]) for c, f in ((cell, first), (other, other_first)))
+                for s, e, j in alike(own, others, (anchors >> CELL) + a, (anchors & BLOCK - 1) + b, least, similarity):
+                    start = int(first[k])
+                    for col, value in zip(out, (int(cell[k]) >> WORD - CELL, start + s, start + e, (int(other[k]) >> WORD - CELL) << WORD | int(other_first[k]) + j), strict=True):
+                        col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["rank", "a", "b", "kept"])
 
     laid = _join(_join(pairs, parts, "cell"), parts.withColumnsRenamed({"cell": "other", "first": "other_first", "words": "others"}), "other")
-    found = map_rows(laid.select("anchors", "first", "words", "other_first", "others"), lay, "rank long, found array<struct<a: int, b: int, kept: long>>")
-    found = cut(found.select("rank", F.explode("found").alias("x")).groupBy("rank").agg(F.collect_set("x").alias("found")))
+    found = small_batches(laid.select("cell", "other", "first", "other_first", "anchors", "words", "others")).mapInArrow(lay, "rank long, a int, b int, kept long")
+    found = cut(found.groupBy("rank").agg(F.collect_set(F.struct("a", "b", "kept")).alias("found")))
     remove(rows.sparkSession, path)
 
     def runs() -> Callable[..., tuple]:
