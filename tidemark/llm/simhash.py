@@ -14,11 +14,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_rows, utf8
+from tidemark.llm.common import cut, map_rows, release, utf8, without
 from tidemark.llm.components import components
 
 BITS, MAX_BITS, SEED, WIDTH = 64, 4, 42, 4
 
+#: Fingerprints of a variant from which on it's looked at whether they have one label.
+MANY = 64
+
 #: Shingles hashed at a time, which bounds a very long document's memory.
 BLOCK = 50_000
 
@@ -107,9 +110,10 @@ def clusters(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     label = F.coalesce("component", "fp").alias("label")
     labelled = cut(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", label))
     a = variants(labelled, max_bits)
-    # Most variants have fingerprints of one label only, however many these are: they link nothing anew.
-    mixed = a.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    a = cut(a.withColumn("h", F.xxhash64("key")).join(mixed.withColumn("h", F.xxhash64("key")), ["key", "h"]).drop("h"))
+    # Where many fingerprints share a variant and a label, it links nothing anew, and their pairs needn't be looked at.
+    plain = a.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("n") > MANY) & (F.col("low") == F.col("high")))
+    a = without(a, plain, "key")
+    release(fps.sparkSession)
     b = a.select("key", F.col("fp").alias("other"), F.col("label").alias("other_label"))
     fp, other = F.col("fp"), F.col("other")
     verified = (fp < other) & _near(fp, other, max_bits) & (F.col("label") != F.col("other_label")) & _first_shared(fp, other, F.col("key"), max_bits)
