@@ -152,7 +152,7 @@ def test_bands_recall():
         a, b = (set(paragraphs.shingles(t)) for t in (w, v))
         if len(a & b) / len(a | b) >= 0.8:
             tried += 1
-            x, y = (paragraphs.bands(paragraphs.hashed(t), np.array([0]), np.array([80]))[0] for t in (w, v))
+            x, y = (paragraphs.bands(paragraphs.hashed(b" ".join(t))[2], np.array([0]), np.array([80]))[0] for t in (w, v))
             met += bool((x == y).any())
     assert tried > 300 and met >= 0.98 * tried
 

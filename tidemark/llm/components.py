@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, release
 
 
 def _joined(edges: DataFrame, mins: DataFrame) -> DataFrame:
@@ -43,6 +43,7 @@ def components(pairs: DataFrame) -> DataFrame:
         small = _joined(large, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.distinct())
         state, before = _state(edges), state
+        release(edges.sparkSession)  # the last round's files
         if state == before:
             break
     # Every edge now runs from a node to the least of its component.

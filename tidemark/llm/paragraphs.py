@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, WORD_BYTES, cut, map_rows, release, remove, small_batches, utf8, words, written
+from tidemark.llm.common import WORD_BYTES, cut, map_rows, release, remove, small_batches, utf8, words, written
 from tidemark.llm.components import components
 
 #: Words of a shingle, least similarity, words that a text or line needs to count.
@@ -39,9 +39,6 @@ BLOCK, AROUND = 256, 48
 #: Unequal words between two equal runs of a stretch, at most; the similarity of the whole decides.
 GAP = 10
 
-#: Words whose hash a worker remembers.
-MEMORY = 250_000
-
 #: A place is a text's rank and a word of it: 2^32 texts, as long as a string can be.
 WORD, CELL = 31, BLOCK.bit_length() - 1
 
@@ -51,29 +48,34 @@ MARK = np.uint64((1 << 40) - 1)
 #: At a similarity of 0.8 a pair shares one of these bands with a probability of 0.994, at 0.9 of 0.9998.
 BANDS, ROWS = 5, 2
 
+#: Numbers that are broadcast, some 50 MB at most; more of them are joined by a shuffle.
+MOST_NUMBERS = 4_000_000
+
 #: Members of a block of a bucket, on average, and their bytes.
 MEMBERS, MEMBER_BYTES = 128, 2_000_000
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _FACTOR = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-class _Known(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_known = _Known()
+#: Per byte of a word, letters in lower case: a random factor.
+_LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64)
 
 
-def hashed(tokens: list[bytes]) -> np.ndarray:
-    """A hash of each word."""
-    if len(_known) > MEMORY:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes from and up to of each word, and its hash: the sum of one for each letter and place."""
+    flat = np.frombuffer(text.translate(WORD_BYTES), dtype=np.uint8)
+    inside = flat != 0x20
+    edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return starts, ends, np.empty(0, dtype=np.uint64)
+    first = np.zeros(len(flat), dtype=np.int64)
+    first[starts] = starts
+    place = (np.arange(len(flat)) - np.maximum.accumulate(first)).astype(np.uint64)
+    return starts, ends, np.add.reduceat(np.where(inside, _mixed((_LETTER[flat] ^ place * _MIX) * _SPREAD), np.uint64(0)), starts)
 
 
 def grams(own: np.ndarray, width: int) -> np.ndarray:
@@ -120,13 +122,6 @@ def bands(own: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes from and up to of each word."""
-    inside = np.frombuffer(text.translate(WORD_BYTES), dtype=np.uint8) != 0x20
-    edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-
-
 def points(text: bytes, places: np.ndarray) -> np.ndarray:
     """Code points of places that are bytes."""
     if text.isascii():
@@ -143,9 +138,9 @@ def lines(text: bytes, starts: np.ndarray, least_words: int) -> tuple[np.ndarray
     return begins[keep], ends[keep], first[keep], end[keep]
 
 
-def keys(line: bytes) -> tuple[int, int]:
-    """Two hashes of 64 bits of a line's words, spaced."""
-    return struct.unpack(">qq", xxhash.xxh3_128_digest(line))
+def keys(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes of 64 bits of a line's hashed words."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(own.tobytes()))
 
 
 def similar(a: set, b: set, similarity: float) -> bool:
@@ -191,7 +186,7 @@ def alike(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, least: int
     further runs of a shingle's words or more while the shingles of both sides, place by place, are similar, and has
     least words. At last its sides' sets of shingles are compared.
     """
-    out = []
+    out, near = [], None
     for shift in np.unique(j - i).tolist():
         low, high = max(0, -shift), min(len(x), len(y) - shift)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], x[low:high] == y[low + shift : high + shift], [False]]).astype(np.int8))) + low
@@ -218,10 +213,15 @@ def alike(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, least: int
                 else:
                     break
             if first < last and e - s >= least:
-                sides = (set(shingles(side)) for side in (x[s:e].tolist(), y[s + shift : e + shift].tolist()))
-                if not similar(*sides, similarity):
-                    first = last = at - 1
-                    s, e = runs[first]
+                # Equal shingles are equal place by place or more; where they don't repeat much, that's enough.
+                if near is None:
+                    near = grams(x.view(np.uint32).astype(np.uint64), WIDTH)
+                equal = {g for f, n in runs[first : last + 1] for g in near[f : n - WIDTH + 1].tolist()}
+                if len(equal) < similarity * (len(equal) + 2 * (e - s - WIDTH + 1 - both)):
+                    sides = (set(shingles(side)) for side in (x[s:e].tolist(), y[s + shift : e + shift].tolist()))
+                    if not similar(*sides, similarity):
+                        first = last = at - 1
+                        s, e = runs[first]
             done = last
             if e - s >= least:
                 out.append((s, e, s + shift))
@@ -257,16 +257,14 @@ def _read(rows: DataFrame, least_words: int) -> tuple[DataFrame, str]:
 
     def make() -> Callable[..., tuple]:
         def row(i: int, text: bytes, same: int, whole: bytes) -> tuple:
-            starts, _ = spans(text)
-            tokens = words(text)
-            own = hashed(tokens)
+            starts, _, own = hashed(text)
             hashes = grams(own, WINDOW)
             at = marks(hashes)
             begins, ends, first, end = lines(text, starts, least_words)
             places = points(text, np.concatenate([begins, ends, [len(text)]]))
-            both = np.array([keys(b" ".join(tokens[a:b])) for a, b in zip(first.tolist(), end.tolist(), strict=True)], dtype=np.int64).reshape(-1, 2)
+            both = np.array([keys(own[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)], dtype=np.int64).reshape(-1, 2)
             line = (places[: len(begins)], places[len(begins) : -1], end - first, both[:, 0], both[:, 1], list(bands(own, first, end)))
-            return i, same, whole, len(tokens), int(places[-1]), at, (hashes[at] & MARK).view(np.int64), *line
+            return i, same, whole, len(own), int(places[-1]), at, (hashes[at] & MARK).view(np.int64), *line
 
         return row
 
@@ -280,7 +278,8 @@ def _read(rows: DataFrame, least_words: int) -> tuple[DataFrame, str]:
 def _met(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
     """text and cols of wanted, at the rows with wanted's doc_id and same."""
     wanted = cut(wanted.select(F.col("doc_id").alias("own"), F.col("same").alias("its"), *cols))
-    if wanted.count() <= MOST_IDS:
+    lists = [F.size(c) for c, kind in wanted.dtypes if kind.startswith("array")]
+    if (wanted.agg(F.sum(sum(lists, F.lit(8)))).first()[0] or 0) <= MOST_NUMBERS:
         wanted = F.broadcast(wanted)
     same = F.xxhash64("text")
     return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (same == F.col("its"))).select("text", *cols)
@@ -305,10 +304,9 @@ def _words(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
 
     def make() -> Callable[..., tuple]:
         def row(text: bytes, places: list[int]) -> tuple:
-            tokens = words(text)
-            _, _, first, end = lines(text, spans(text)[0], least_words)
-            own = [b" ".join(tokens[first[p] : end[p]]) for p in places if p < len(first)]
-            return ([{"key": keys(w)[0], "words": w} for w in own],)
+            starts, _, own = hashed(text)
+            begins, ends, first, end = lines(text, starts, least_words)
+            return ([{"key": keys(own[first[p] : end[p]])[0], "words": b" ".join(words(text[begins[p] : ends[p]]))} for p in places if p < len(first)],)
 
         return row
 
@@ -342,10 +340,12 @@ def _classes(first: DataFrame, rows: DataFrame, similarity: float, least_words:
     # Pairs mostly share several buckets: of buckets with equal members one is enough.
     shared = shared.where("low != high").groupBy("low", "high", "many", "mix").agg(F.min("bucket").alias("bucket")).drop("mix")
     met = cut(_join(banded, shared, "bucket"))
+    release(rows.sparkSession)
     texts = _words(rows, first.join(met.select("key").distinct(), "key"), least_words)
     pairs = met.select("key", F.explode(F.array("low", "high")).alias("pivot")).where("key != pivot").distinct()
     labels = cut(components(_verified(pairs, texts, similarity)).withColumnsRenamed({"node": "key", "component": "label"}))
 
+    release(rows.sparkSession)
     labelled = _join(met.where("many > 2").select("bucket", "key"), labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     size = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(F.length("words")) / MEMBER_BYTES)).cast("int")
     labelled = cut(_join(labelled, texts, "key"))
@@ -377,6 +377,7 @@ def _paragraphs(read: DataFrame, rows: DataFrame, similarity: float, least_words
     # Different lines of one hash aren't taken for equal, nor compared.
     first = first.where("least = most").select("key", "at.doc_id", "at.same", "at.pos", "bands")
     classes = cut(_classes(cut(first), rows, similarity, least_words))
+    release(rows.sparkSession)
     all_ = _join(found.select("doc_id", "n", "pos", "start", "end", "n_words", "key", "key2"), classes, "key", "left")
     all_ = cut(all_.withColumn("key2", F.when(F.col("component").isNull(), F.col("key2")).otherwise(0)).withColumn("component", F.coalesce("component", "key")).drop("key"))
     heads = all_.groupBy("component", "key2").agg(F.min(place).alias("kept"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
@@ -413,7 +414,7 @@ def _stretches(read: DataFrame, rows: DataFrame, similarity: float, least_passag
     place = F.xxhash64("same", "word")
     again = marked.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("key")
     hits = cut(_join(marked, again, "key").distinct())
-    del again
+    del again, marked
     release(rows.sparkSession)
     located = cut(_join(hits, ranked, "same").select("key", F.shiftleft("rank", WORD).bitwiseOR(F.col("word").cast("long")).alias("place")))
     kept = located.groupBy("key").agg(F.min("place").alias("kept"))
@@ -422,12 +423,14 @@ def _stretches(read: DataFrame, rows: DataFrame, similarity: float, least_passag
     pairs = pairs.select(F.shiftright("place", CELL).alias("cell"), F.shiftright("kept", CELL).alias("other"), inside.alias("inside"))
     pairs = cut(pairs.groupBy("cell", "other").agg(F.collect_set("inside").alias("anchors")))  # places within two blocks
 
+    del hits, located, kept
+    release(rows.sparkSession)
     cells = pairs.select("cell").unionByName(pairs.select(F.col("other").alias("cell"))).distinct()
     cells = cells.groupBy(F.shiftright("cell", WORD - CELL).alias("rank")).agg(F.collect_set(F.col("cell").bitwiseAND(F.lit((1 << WORD - CELL) - 1)).cast("int")).alias("blocks"))
 
     def blocks() -> Callable[..., tuple]:
         def row(text: bytes, rank: int, blocks: list[int]) -> tuple:
-            own = (hashed(words(text)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            own = (hashed(text)[2] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             parts = ((b, max(0, b * BLOCK - AROUND)) for b in sorted(blocks))
             return ([{"cell": rank << WORD - CELL | b, "first": first, "words": own[first : (b + 1) * BLOCK + AROUND]} for b, first in parts],)
 
@@ -479,7 +482,7 @@ def _stretches(read: DataFrame, rows: DataFrame, similarity: float, least_passag
         names = ("word", "start", "end")
 
         def row(text: bytes, rank: int, asked: list[int]) -> tuple:
-            starts, ends = spans(text)
+            starts, ends, _ = hashed(text)
             asked = [w for w in asked if w < len(starts)]
             return rank, [dict(zip(names, x, strict=True)) for x in zip(asked, points(text, starts[asked]).tolist(), points(text, ends[asked]).tolist(), strict=True)]
 
