@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, pii, quality, simhash
-from tidemark.llm.common import among, cut, shared_folder, table, without
+from tidemark.llm.common import among, cut, remove, shared_folder, table, without
 from tidemark.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -80,11 +80,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written as Parquet and read again, in the cluster's shared folder."""
+    """The stages in order over documents, each written as Parquet and read again, in the cluster's shared folder.
+
+    A stage's rows are deleted once the next one has written its own; the last one's stay, since the result reads them.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/stage-{k}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/stage-{k - 1}")
     return docs
