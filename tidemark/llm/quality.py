@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from hashlib import sha256
 from operator import eq
 
 import numpy as np
@@ -40,6 +41,9 @@ _CLASSES = 6 + len(_MARKS)
 #: Bytes counted at a time, which bounds a very long text's memory.
 BLOCK = 1_000_000
 
+#: Texts weighted at a time, which bounds the memory for their terms' weights.
+ROWS = 500
+
 
 #: Per byte: a factor, so that a word's hash is a sum over its bytes and places; its letters count in lower case.
 _LETTER = np.array([(b + 32 if 65 <= b <= 90 else b) * 2654435761 % 2**32 | 1 for b in range(256)], dtype=np.uint32)
@@ -92,7 +96,9 @@ class Model:
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors in whole steps."""
-        x = np.rint(_weighted(counts, self.weight) * STEP) @ self.space
+        x = np.empty((len(counts), self.space.shape[1]))
+        for k in range(0, len(counts), ROWS):
+            x[k : k + ROWS] = np.rint(_weighted(counts[k : k + ROWS], self.weight) * STEP) @ self.space
         return np.rint(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9) * FINE)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -117,13 +123,17 @@ def _weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def latent(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     """Fits the space to counts. Equal texts vote as one, by the mean of their labels."""
-    counts, place = np.unique(counts, axis=0, return_inverse=True)
-    place = place.ravel()
+    seen: dict[bytes, int] = {}
+    place = np.array([seen.setdefault(sha256(row.tobytes()).digest(), len(seen)) for row in counts], dtype=int)
+    if len(seen) < len(counts):
+        counts = counts[np.unique(place, return_index=True)[1]]
     labels = np.bincount(place, labels) / np.maximum(np.bincount(place), 1) if len(labels) else labels
     weight = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     if len(counts) > MOST_SAMPLE:
         raise ValueError(f"a sample has {MOST_SAMPLE} texts at most")
-    x = _weighted(counts, weight).astype(np.float32)
+    x = np.empty(counts.shape, dtype=np.float32)
+    for k in range(0, len(counts), ROWS):
+        x[k : k + ROWS] = _weighted(counts[k : k + ROWS], weight)
     guess = np.random.Generator(np.random.PCG64(11)).standard_normal((x.shape[1], min(dims + 16, x.shape[1]))).astype(np.float32)
     basis = np.linalg.qr(x @ guess)[0]
     for _ in range(3):
