@@ -41,8 +41,8 @@ _CLASSES = 6 + len(_MARKS)
 #: Bytes counted at a time, which bounds a very long text's memory.
 BLOCK = 1_000_000
 
-#: Texts weighted at a time, which bounds the memory for their terms' weights.
-ROWS = 500
+#: Texts weighted and compared at a time, which bounds the memory for their terms' weights and their cosines.
+ROWS = 100
 
 
 #: Per byte: a factor, so that a word's hash is a sum over its bytes and places; its letters count in lower case.
@@ -189,9 +189,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = np.array([terms(t) for t in texts]).reshape(len(texts), 2 * TERMS + 2)
-            scores = pa.array(sent.value.scores(counts), pa.float64())
-            cols = [batch.column(0), *batch.columns[2:], scores]
+            scores = np.empty(len(texts))
+            for k in range(0, len(texts), ROWS):
+                scores[k : k + ROWS] = sent.value.scores(np.array([terms(t) for t in texts[k : k + ROWS]]))
+            cols = [batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *keep, "score"])
 
     return small_batches(rows).mapInArrow(run, f"{kinds}, score double")
