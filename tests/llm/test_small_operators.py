@@ -100,6 +100,22 @@ def test_bpe_pairs_and_merges_agree():
         assert apart == (own.merge(own.token[x] + own.token[y]) == [x, y])
 
 
+def test_bpe_words_side_by_side_are_as_one_by_one():
+    own, rng = bpe.Tokenizer(BPE), np.random.default_rng(5)
+    texts = ["".join(rng.choice([*"abcdeinorst.é "], n)).strip(" ") or "a" for n in rng.integers(1, 33, 3000)]
+    words = [w for w in (t.encode() for t in texts) if len(w) <= bpe.SHORT]
+    flat, sizes = own.greedy_all(words)
+    assert [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])] == list(map(own.greedy, words))
+    assert [np.frombuffer(p, dtype="<u4").tolist() for p in own.merge_all(words)] == list(map(own.merge, words))
+    assert [np.frombuffer(p, dtype="<u4").tolist() for p in own.merge_all([b"a"])] == [own.merge(b"a")]
+
+
+def test_lookup_holds_every_key():
+    keys = np.unique(np.random.default_rng(6).integers(0, 1 << 40, 5000)) * 2
+    found = bpe.Lookup(keys, np.arange(len(keys)))
+    assert found.get(keys, -1).tolist() == list(range(len(keys))) and set(found.get(keys + 1, -1).tolist()) == {-1}
+
+
 def test_top_k_query_matches_sql(spark):
     assert rows(queries.op8_top_k(spark, SMALL)) == sql("op8_top_k")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import string
 import struct
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,7 +26,11 @@ SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: Fixed value: the byte-level pattern of the tokenizer files.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-SPACES = regex.compile(f"[{SPACE}]")
+#: None of it lies beyond U+3000.
+SPACES = frozenset(chr(c) for c in range(0x3001) if regex.match(f"[{SPACE}]", chr(c)))
+
+#: ASCII signs other than letters, digits and white space.
+MARKS = frozenset(string.punctuation)
 
 #: Words, and stretches from space to space, whose encoding a worker remembers at least, and their bytes at most. Twice as many
 #: are there at the end of a generation.
@@ -33,8 +39,14 @@ MEMORY, MEMORY_BYTES = 150_000, 30_000_000
 #: Pairs of tokens that a worker remembers whether they can stand side by side.
 MEMORY_PAIRS = 250_000
 
-#: Bytes of a word up to which looking for the best merge again and again is quicker than a heap.
-SHORT = 24
+#: Bytes of a word up to which it's cut and merged side by side with others, a step of all of them at a time.
+SHORT = 32
+
+#: Words merged side by side at most; their arrays stay in a processor's cache.
+MERGED = 4_000
+
+#: Behind a word's last byte, in arrays of bytes.
+END = 256
 
 NEVER = np.iinfo(np.int64).max
 
@@ -46,32 +58,63 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-class Memory(dict):
+class Lookup:
+    """Distinct non-negative 64-bit keys to values, for arrays of keys: open addressing, at most a quarter full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
+        todo, at = np.arange(len(keys)), self._place(keys)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.values[at[put]] = keys[todo[put]], values[todo[put]]
+            left = np.ones(len(todo), dtype=bool)
+            left[put] = False
+            todo, at = todo[left], at[left] + 1 & len(self.keys) - 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        # Fibonacci hashing: 2^64 by the golden ratio.
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        at = self._place(keys)
+        held = self.keys[at]
+        found = np.where(held == keys, self.values[at], default)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            held = self.keys[at[left]]
+            same = held == keys[left]
+            found[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (held >= 0)]
+        return found
+
+
+class Memory:
     """What has been met, in two generations: what the last one didn't meet again is forgotten, little by little."""
 
     def __init__(self) -> None:
-        super().__init__()
+        self.now: dict = {}
         self.before: dict = {}
         self.bytes = 0
 
-    def __missing__(self, key: object) -> object:
-        self[key] = found = self.before[key]
-        return found
-
-    def lacks(self, keys: Iterable) -> list:
-        """Those of the keys that neither generation has."""
-        return [k for k in keys if k not in self and k not in self.before]
+    def lacks(self, keys: set) -> list:
+        """Those of the keys that neither generation has; now has the others after that."""
+        new = keys.difference(self.now)
+        again = new.intersection(self.before)
+        self.learn(list(again), map(self.before.__getitem__, again))
+        return list(new.difference(again))
 
     def learn(self, keys: list, values: Iterable) -> None:
-        self.update(zip(keys, values, strict=True))
+        self.now.update(zip(keys, values, strict=True))
         self.bytes += sum(map(len, keys))
 
     def age(self) -> None:
         """A new generation, where this one has become full."""
-        if len(self) > MEMORY or self.bytes > MEMORY_BYTES:
-            self.before = dict(self)
-            self.clear()
-            self.bytes = 0
+        if len(self.now) > MEMORY or self.bytes > MEMORY_BYTES:
+            self.before, self.now, self.bytes = self.now, {}, 0
 
 
 class Tokenizer:
@@ -128,6 +171,8 @@ class Tokenizer:
         keys = np.array([a << 32 | b for a, b, _ in ids], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
+        first = np.unique(keys, return_index=True)[1]
+        self.ranks, self.made = Lookup(keys[first], first), np.array([c for _, _, c in ids], dtype=np.int64)
         # A token that merging its own bytes doesn't give back can never come out, so it's never proposed.
         whole = np.array([(a, b) for a, b, _ in ids], dtype=np.int64).reshape(-1, 2)
         alone = self._apart(whole[:, 0], whole[:, 1], final=True)
@@ -139,6 +184,11 @@ class Tokenizer:
         self.reach: dict[bytes, int] = {}
         for t in self.propose:
             self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
+        # A tree of the proposed tokens' beginnings: from a node, by a byte, to the next; of each node the token that it is, or -1.
+        nodes = {b"": 0}
+        steps = [(nodes[t[:n]] << 9 | t[n], nodes.setdefault(t[: n + 1], len(nodes))) for t in self.propose for n in range(len(t))]
+        key, to = np.array(sorted(set(steps)), dtype=np.int64).T
+        self.next, self.at_node = Lookup(key, to), np.array([self.propose.get(t, -1) for t in nodes], dtype=np.int64)
 
     def _apart(self, a: np.ndarray, b: np.ndarray, final: bool = False) -> np.ndarray:
         """Whether merging the bytes of tokens a and b leaves just those two. final: before they merge themselves.
@@ -172,21 +222,64 @@ class Tokenizer:
             i = j
         return out
 
+    def greedy_all(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of short words, none empty: the tokens that greedy gives, one word's after the other's, and how many each has."""
+        ends = np.cumsum([len(w) + 1 for w in raw]) - 1
+        text = np.frombuffer(b"\0".join([*raw, b""]), dtype=np.uint8).astype(np.int64)
+        text[ends] = END
+        word, at = np.arange(len(raw)), np.concatenate([[0], ends[:-1] + 1])
+        node, best, upto = np.zeros(len(raw), dtype=np.int64), np.zeros(len(raw), dtype=np.int64), at.copy()
+        words, tokens = [], []
+        while len(word):
+            to = self.next.get(node << 9 | text[at], -1)
+            on = to >= 0
+            at, node = at + on, np.where(on, to, 0)
+            token = self.at_node[node]  # none at the root
+            whole = token >= 0
+            best, upto = np.where(whole, token, best), np.where(whole, at, upto)
+            stuck = np.flatnonzero(~on)
+            if len(stuck):
+                words.append(word[stuck])
+                tokens.append(best[stuck])
+                at[stuck] = upto[stuck]
+                more = np.ones(len(word), dtype=bool)
+                more[stuck] = text[at[stuck]] != END
+                word, at, node, best, upto = (x[more] for x in (word, at, node, best, upto))
+        word = np.concatenate(words)
+        return np.concatenate(tokens)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(raw))
+
+    def merge_all(self, raw: list[bytes]) -> list[bytes]:
+        """What merge gives for short words, packed; a step merges one pair of each word that still has one."""
+        size = np.array([len(w) for w in raw])
+        wide = int(size.max())
+        ids = np.array([self.byte[b] for b in range(256)])[np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in raw), dtype=np.uint8).reshape(len(raw), wide)]
+        rank = self.ranks.get((ids[:, :-1] << 32 | ids[:, 1:]).ravel(), NEVER).reshape(len(raw), wide - 1)
+        rank[np.arange(1, wide) >= size[:, None]] = NEVER
+        # A column of its own ends the ranks, so that there's always one to shift in.
+        rank = np.concatenate([rank, np.full((len(raw), 1), NEVER)], axis=1)
+        out: list[bytes] = [b""] * len(raw)
+        word, places = np.arange(len(raw)), np.arange(wide)
+        while len(word):
+            row, col = np.arange(len(word)), rank.argmin(axis=1)
+            low = rank[row, col]
+            done = low == NEVER
+            for k, n, x in zip(word[done].tolist(), size[done].tolist(), ids[done].astype("<u4"), strict=True):
+                out[k] = x[:n].tobytes()
+            go = ~done
+            word, size, col, low = word[go], size[go] - 1, col[go], low[go]
+            row = np.arange(len(word))
+            take = np.minimum(places + (places > col[:, None]), wide - 1)
+            ids = np.take_along_axis(ids[go], take, axis=1)
+            ids[row, col] = self.made[low]
+            rank = np.take_along_axis(rank[go], np.minimum(places + (places >= col[:, None]), wide - 1), axis=1)
+            for here, can in ((col - 1, col > 0), (col, col < size - 1)):
+                k, c = row[can], here[can]
+                rank[k, c] = self.ranks.get(ids[k, c] << 32 | ids[k, c + 1], NEVER)
+        return out
+
     def merge(self, word: bytes) -> list[int]:
         """Exact: always the merge of lowest rank, the leftmost of equal ones."""
         ids = [self.byte[b] for b in word]
-        if len(ids) <= SHORT:
-            none, get = (NEVER, 0), self.rank.get
-            found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-            while found and (best := min(found)) is not none:
-                i = found.index(best)
-                ids[i : i + 2] = [best[1]]
-                del found[i]
-                if i:
-                    found[i - 1] = get((ids[i - 1], ids[i]), none)
-                if i < len(found):
-                    found[i] = get((ids[i], ids[i + 1]), none)
-            return ids
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         heap = [(self.rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank]
         heapq.heapify(heap)
@@ -205,10 +298,17 @@ class Tokenizer:
 
     def learn(self, new: list[str]) -> None:
         """Encodes words into self.known, as packed unsigned 32-bit integers."""
-        raw = [w.encode() for w in new]
-        found = [self.greedy(w) for w in raw]
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int64)
-        ends = np.cumsum([len(ids) for ids in found])
+        raw = sorted((w.encode() for w in new), key=len)  # words of a length are merged side by side
+        at = bisect_right(raw, SHORT, key=len)
+        short, long = raw[:at], raw[at:]
+        parts, counts = self.greedy_all(short) if short else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        rest = [self.greedy(w) for w in long]
+        flat = np.concatenate([parts, np.fromiter(chain.from_iterable(rest), dtype=np.int64)])
+        ends = np.cumsum([*counts.tolist(), *map(len, rest)])
+        if not len(flat):
+            return
+        data, cuts = flat.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        found = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         if len(flat) > 1:
             keys = flat[:-1] << 32 | flat[1:]
             distinct, place = np.unique(keys, return_inverse=True)
@@ -219,9 +319,16 @@ class Tokenizer:
             self.pairs.update(zip(new_pairs.tolist(), self._apart(new_pairs >> 32, new_pairs & 0xFFFFFFFF).tolist(), strict=True))
             fails = ~np.array([self.pairs[k] for k in distinct.tolist()])[place]
             fails[ends[:-1] - 1] = False  # the pair across two words
-            for k in np.unique(np.searchsorted(ends, np.flatnonzero(fails), side="right")):
-                found[k] = self.merge(raw[k])
-        self.known.learn(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in found))
+            again = np.unique(np.searchsorted(ends, np.flatnonzero(fails), side="right")).tolist()
+            side_by_side = [k for k in again if k < len(short)]
+            for at in range(0, len(side_by_side), MERGED):
+                some = side_by_side[at : at + MERGED]
+                for k, ids in zip(some, self.merge_all([raw[k] for k in some]), strict=True):
+                    found[k] = ids
+            for k in again[len(side_by_side) :]:
+                ids = self.merge(raw[k])
+                found[k] = struct.pack(f"<{len(ids)}I", *ids)
+        self.known.learn([w.decode() for w in raw], found)
 
     def pieces(self, text: str) -> Iterator[str | int]:
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
@@ -230,40 +337,64 @@ class Tokenizer:
             elif part:
                 yield part
 
+    def _cut(self, text: str) -> list[str]:
+        """Its words. ASCII letters alone, behind a space or not, are a word, and so is a mark that they end with."""
+        letters = text[1:] if text[:1] == " " else text
+        if letters.isascii():
+            if letters.isalpha():
+                return [text]
+            if letters[-1:] in MARKS and letters[:-1].isalpha():
+                return [text[:-1], text[-1]]
+        return self.words.findall(text)
+
     def _words(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed; the texts hold no special tokens."""
-        # Letters alone behind a space are a word.
-        cut = [[t] if t[:1] == " " and t[1:].isalpha() and t.isascii() else self.words.findall(t) for t in texts]
+        cut = list(map(self._cut, texts))
         self.learn(self.known.lacks(set(chain.from_iterable(cut))))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
+        known = self.known.now
+        return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in cut]
 
     def _stretches(self, new: list[str]) -> None:
         """A space between two others than white space always starts a word, so what's from there to the next can be
         encoded by itself. None: it starts or ends with white space, or is empty."""
-        sound = [x for x in new if x and not SPACES.match(x[0]) and not SPACES.match(x[-1])]
+        sound = [x for x in new if x and x[0] not in SPACES and x[-1] not in SPACES]
         found = dict.fromkeys(new) | dict(zip(sound, self._words([f" {x}" for x in sound]), strict=True))
-        self.stretches.learn(new, map(found.__getitem__, new))
+        self.stretches.learn(list(found), found.values())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         self.known.age()
         self.stretches.age()
-        cut = [[p if isinstance(p, int) else p.split(" ") for p in self.pieces(t)] for t in texts]
-        self._stretches(self.stretches.lacks({x for ps in cut for p in ps if not isinstance(p, int) for x in p[1:]}))
-        # What stands before the first space goes by words, and so does the whole where white space is more than single spaces.
-        done = [[None if isinstance(p, int) else list(map(self.stretches.__getitem__, p[1:])) for p in ps] for ps in cut]
-        rest = []
-        for ps, found in zip(cut, done, strict=True):
-            for k, (p, x) in enumerate(zip(ps, found, strict=True)):
-                if x is not None:
-                    whole = None in x or (x and (not p[0] or SPACES.match(p[0][-1])))
-                    rest.append(" ".join(p) if whole else p[0])
-                    found[k] = [] if whole else x
+        cut: list[list] = []  # of each text its parts: a special token's id, or what's before the first space, and the stretches
+        met: set[str] = set()
+        for text in texts:
+            parts: list = []
+            for p in self.pieces(text):
+                if isinstance(p, str):
+                    head, space, tail = p.partition(" ")
+                    p = (head, tail.split(" ") if space else [])
+                    met.update(p[1])
+                parts.append(p)
+            cut.append(parts)
+        self._stretches(self.stretches.lacks(met))
+        held, rest = self.stretches.now.__getitem__, []
+        for parts in cut:
+            for k, p in enumerate(parts):
+                if isinstance(p, int):
+                    continue
+                head, tail = p
+                # The first space has to stand between two others than white space as well.
+                whole = bool(tail) and (not head or head[-1] in SPACES)
+                if not whole:
+                    try:
+                        parts[k] = b"".join(map(held, tail))
+                    except TypeError:  # a None: white space is more than single spaces
+                        whole = True
+                if whole:
+                    parts[k] = b""
+                rest.append(" ".join([head, *tail]) if whole else head)
         by_words = iter(self._words(rest))
-        return [
-            b"".join([p.to_bytes(4, "little") if x is None else next(by_words) + b"".join(x) for p, x in zip(ps, found, strict=True)])
-            for ps, found in zip(cut, done, strict=True)
-        ]
+        return [b"".join([p.to_bytes(4, "little") if isinstance(p, int) else next(by_words) + p for p in parts]) for parts in cut]
 
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, dtype="<u4")
