@@ -3,12 +3,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tests import simulator
 from tidemark.functions import formats, keygroups
 from tidemark.operators import aggregates, keyed, ranking
 from tidemark.operators.scan import max_before, next_at_least, numbered
+from tidemark.operators.windows import Session, Sliding, Tumbling
 from tidemark.sources.events import replay, until, vector
 from tidemark.streaming.lateness import late_windows
-from tidemark.streaming.run import Append, Setting, Upsert, feed, run, run_failing, shared_folder, stream
+from tidemark.streaming.run import FLUSH, SCHEMA, Append, Setting, Upsert, feed, run, run_failing, shared_folder, stream
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -128,13 +130,84 @@ def test_a_failed_batch_comes_again(spark, trips, partitions):
     assert Append(f"{folder}/out", []).read(spark).count() > 5  # the control: more was delivered than there are keys
 
 
-def test_late_rows_and_corrected_values_of_the_stateful_operator(spark):
-    folder = shared_folder(spark)
-    rows = vector(spark, [("a", 0, 10, 100), ("a", 0, 0, 1000), ("a", 0, 5, 200), ("a", 0, 0, 4000), ("a", 0, 7, 300), ("a", 0, 0, 4001)], "k string, u long, value long, event_ms long")
-    feed(rows, f"{folder}/in", 6, flush_ms=100_000)
+class Listed(aggregates.Total):
+    """Values in order of arrival, so that a value lost, doubled or merged in another order would show."""
+
+    def create(self):
+        return ()
+
+    def add(self, acc, value):
+        return (*acc, value)
+
+    def result(self, acc):
+        return ",".join(map(str, acc))
+
+    fold = aggregates.Aggregator.fold
+
+
+LATER = 1_000_000_000_000
+
+STREAMED = [  # batches of (key, value, event_ms less LATER); the watermark is the highest time of earlier batches
+    [("a", 1, 100), ("b", 2, 999), ("a", 3, 1000)],  # nothing is late in the first batch
+    [("a", 4, 500), ("b", 5, 1999), ("a", 6, 2000)],  # into a window that fires with this batch
+    [("a", 7, 999), ("a", 8, 1999), ("b", 9, 2999), ("a", 10, 3000)],  # corrections
+    [("a", 11, 999), ("b", 12, 1500), ("a", 13, 1000), ("c", 14, 7000)],  # the first is late: its window ended lateness ago
+    [("a", 15, 3999), ("c", 16, 5000), ("c", 17, 5999), ("b", 18, 9000)],
+    [("c", 19, 6500), ("a", 20, 9000)],
+]
+STREAMED = [[(k, v, LATER + ms) for k, v, ms in rows] for rows in STREAMED]
+
+
+def by_batch(windows, gap, lateness, flush):
+    """What comes out, by plain rules: a batch's rows go in under the watermark of the batches before it, then windows fire."""
+    held, out, top = {}, [], None
+    for rows in [*STREAMED, [(None, 0, flush)], [(None, 0, flush + 1)]]:
+        wm, touched = top, set()
+        for cell in [c for c in held if wm is not None and c[2] + lateness <= wm]:
+            if held[cell][1]:
+                out.append((*cell, held[cell][0], False))
+            del held[cell]
+        for key, value, ms in rows:
+            taken = False
+            for start, end in windows(ms):
+                if key is None or (wm is not None and end + lateness <= wm):
+                    continue
+                taken, cell, acc = True, (key, start, end), (value,)
+                if gap:
+                    near = sorted(c for c in held if c[0] == key and c[1] < end and start < c[2])
+                    parts = sorted([(c[1], c[2], held.pop(c)[0]) for c in near] + [(start, end, acc)], key=lambda x: x[:2])
+                    cell, acc = (key, parts[0][0], max(p[1] for p in parts)), tuple(v for p in parts for v in p[2])
+                elif cell in held:
+                    acc = (*held[cell][0], value)
+                held[cell] = (acc, True)
+                touched.add(cell)
+            if not taken and key is not None:
+                out.append((key, ms, None, (value,), True))
+        for cell, (acc, dirty) in list(held.items()):
+            if dirty and wm is not None and cell[2] <= wm:
+                out.append((*cell, acc, False))
+                held[cell] = (acc, False)
+        top = max([ms for *_, ms in rows] + ([top] if top is not None else []))
+    out += [(*c, acc, False) for c, (acc, dirty) in held.items() if dirty]
+    return out
+
+
+@pytest.mark.parametrize("windows,lateness", [(Tumbling(1000), 1000), (Tumbling(1000), 0), (Sliding(2000, 1000), 500), (Sliding(500, 1000), 500), (Session(1000), 0), (Session(1000), 1500)])
+def test_stateful_windows_emit_what_the_rules_say(spark, windows, lateness):
+    """Sessions compare values as a set, since rows of a batch join each other first."""
+    folder, merging = shared_folder(spark), isinstance(windows, Session)
+    n = 0
+    for rows in STREAMED:
+        made = [(n + i, key, 0, value, ms) for i, (key, value, ms) in enumerate(rows)]
+        n += len(rows)
+        spark.createDataFrame(made, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    feed(spark.createDataFrame([], SCHEMA), f"{folder}/in", 1, flush_ms=LATER + 100_000)
     with Setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
-        source = stream(spark, f"{folder}/in", 50_000).withColumn("ts", F.col("ts"))
-        found = late_windows(source.select("k", "value", "event_ms", "ts"), 1000, 0, 2000, 50_000)
+        source = stream(spark, f"{folder}/in", 50_000).select("seq", "k", "u", "value", "event_ms", "ts")
+        found = late_windows(source, ["k", "u"], windows, Listed(), "string", 0, lateness, 50_000)
         run(found, sink := Append(f"{folder}/out", []), f"{folder}/checkpoint", "update")
-    got = [(r.window_start_ms, r.value, r.is_late) for r in sink.read(spark).where("k = 'a' AND window_start_ms = 0").collect()]
-    assert sum(v for _, v, late in got if late) + max(v for _, v, late in got if not late) == 22
+    got = [(r.k, r.event_ms, None, (r.value,), True) if r.is_late else (r.k, r.window_start_ms, r.window_end_ms, tuple(map(int, r.result.split(","))), False) for r in sink.read(spark).where(F.col("k") != FLUSH).collect()]
+    starts = (lambda ms: [(ms, ms + 1000)]) if merging else (lambda ms: [(s, s + windows.size) for s in simulator.sliding(ms, windows.size, getattr(windows, "slide", windows.size))])
+    want = by_batch(starts, 1000 if merging else 0, lateness, LATER + 100_000)
+    plain = (lambda x: (*x[:3], tuple(sorted(x[3])), x[4])) if merging else (lambda x: x)
+    assert sorted(map(str, map(plain, got))) == sorted(map(str, map(plain, want)))

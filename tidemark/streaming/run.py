@@ -76,8 +76,12 @@ class Upsert:
 class Append(Upsert):
     """Keeps every row, as a sink without keys does."""
 
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """The rows with the number of their batch."""
+        return spark.read.option("basePath", self.folder).parquet(f"{self.folder}/batch=*")
+
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.folder).parquet(f"{self.folder}/batch=*").drop("batch")
+        return self.batches(spark).drop("batch")
 
 
 def run(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> list[dict]:
