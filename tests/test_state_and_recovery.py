@@ -192,9 +192,11 @@ def by_batch(windows, gap, lateness, flush):
     return out
 
 
-@pytest.mark.parametrize("windows,lateness", [(Tumbling(1000), 1000), (Tumbling(1000), 0), (Sliding(2000, 1000), 500), (Sliding(500, 1000), 500), (Session(1000), 0), (Session(1000), 1500)])
-def test_stateful_windows_emit_what_the_rules_say(spark, windows, lateness):
-    """Sessions compare values as a set, since rows of a batch join each other first."""
+def check_log(spark, windows, lateness, fail_at=()):
+    """The log of a run, which the sink stops after it has written each of the batches fail_at, against the rules.
+
+    Sessions compare values as a set, since rows of a batch join each other first.
+    """
     folder, merging = shared_folder(spark), isinstance(windows, Session)
     n = 0
     for rows in STREAMED:
@@ -205,9 +207,22 @@ def test_stateful_windows_emit_what_the_rules_say(spark, windows, lateness):
     with Setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
         source = stream(spark, f"{folder}/in", 50_000).select("seq", "k", "u", "value", "event_ms", "ts")
         found = late_windows(source, ["k", "u"], windows, Listed(), "string", 0, lateness, 50_000)
+        for batch in fail_at:
+            assert f"batch {batch}" in run_failing(found, Append(f"{folder}/out", [], fail_at=batch), f"{folder}/checkpoint", "update")
         run(found, sink := Append(f"{folder}/out", []), f"{folder}/checkpoint", "update")
-    got = [(r.k, r.event_ms, None, (r.value,), True) if r.is_late else (r.k, r.window_start_ms, r.window_end_ms, tuple(map(int, r.result.split(","))), False) for r in sink.read(spark).where(F.col("k") != FLUSH).collect()]
+    got = []
+    for r in sink.read(spark).where(F.col("k") != FLUSH).collect():
+        got.append((r.k, r.event_ms, None, (r.value,), True) if r.is_late else (r.k, r.window_start_ms, r.window_end_ms, tuple(map(int, r.result.split(","))), False))
     starts = (lambda ms: [(ms, ms + 1000)]) if merging else (lambda ms: [(s, s + windows.size) for s in simulator.sliding(ms, windows.size, getattr(windows, "slide", windows.size))])
     want = by_batch(starts, 1000 if merging else 0, lateness, LATER + 100_000)
     plain = (lambda x: (*x[:3], tuple(sorted(x[3])), x[4])) if merging else (lambda x: x)
     assert sorted(map(str, map(plain, got))) == sorted(map(str, map(plain, want)))
+
+
+@pytest.mark.parametrize("windows,lateness", [(Tumbling(1000), 1000), (Tumbling(1000), 0), (Sliding(2000, 1000), 500), (Sliding(500, 1000), 500), (Session(1000), 0), (Session(1000), 1500)])
+def test_stateful_windows_emit_what_the_rules_say(spark, windows, lateness):
+    check_log(spark, windows, lateness)
+
+
+def test_stateful_windows_go_on_after_each_failure(spark):
+    check_log(spark, Tumbling(1000), 1000, fail_at=range(1, 6))
