@@ -184,11 +184,17 @@ class Tokenizer:
         self.reach: dict[bytes, int] = {}
         for t in self.propose:
             self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
-        # A tree of the proposed tokens' beginnings: from a node, by a byte, to the next; of each node the token that it is, or -1.
-        nodes = {b"": 0}
-        steps = [(nodes[t[:n]] << 9 | t[n], nodes.setdefault(t[: n + 1], len(nodes))) for t in self.propose for n in range(len(t))]
-        key, to = np.array(sorted(set(steps)), dtype=np.int64).T
-        self.next, self.at_node = Lookup(key, to), np.array([self.propose.get(t, -1) for t in nodes], dtype=np.int64)
+        # A tree of the proposed tokens' beginnings: from a node (0 the root), by a byte, to the next; of each node the token that it is, or -1.
+        tree: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for t, i in self.propose.items():
+            node = 0
+            for byte in t:
+                node = tree.setdefault(node << 9 | byte, len(tree) + 1)
+            ends[node] = i
+        self.next = Lookup(np.fromiter(tree, dtype=np.int64), np.fromiter(tree.values(), dtype=np.int64))
+        self.at_node = np.full(len(tree) + 1, -1, dtype=np.int64)
+        self.at_node[list(ends)] = list(ends.values())
 
     def _apart(self, a: np.ndarray, b: np.ndarray, final: bool = False) -> np.ndarray:
         """Whether merging the bytes of tokens a and b leaves just those two. final: before they merge themselves.
