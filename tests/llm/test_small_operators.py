@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 from collections import Counter
 
 import duckdb
@@ -199,6 +200,26 @@ def test_mining_ends_whatever_the_length_of_urls(spark):
     assert urls.mine(made.limit(0)).count() == 0
 
 
+def test_rules_of_many_tokens_are_found(spark):
+    """A label that only 14 tokens together decide, and rows of up to 15 tokens that share no pattern."""
+    draw = random.Random(5)
+    own = [f"t{i:02}" for i in range(14)]
+    whole = [(own, "block")] * 20 + [([t for t in own if t != x], "allow") for x in own] * 5
+    mixed = [([t for t in (*own, "u0") if draw.random() < 0.8], draw.choice(["allow", "allow", "block"])) for _ in range(60)]
+    for rows in (whole, mixed, whole + mixed):
+        mined = brute_mined(rows)
+        made = spark.createDataFrame([(sorted(t), v) for t, v in rows], "tokens array<string>, label string")
+        others = [own, ["new", *own], *(sorted(draw.sample((*own, "u0"), k)) for k in range(1, 16))]
+        sets = made.select("tokens").union(spark.createDataFrame([(t,) for t in others], "tokens array<string>")).distinct()
+        wanted = {}
+        for r in sets.collect():
+            wanted[tuple(r.tokens)] = next(((v, name) for *_, name, v, c in mined if all(set(x) & set(r.tokens) for x in c)), None)
+        assert rows is not whole or wanted[tuple(own)] == ("block", " ".join(own))
+        for targets in ({}, {"targets": sets}):
+            best = {tuple(r.tokens): (r.label, r.mined) for r in urls.match(sets, urls.mine(made, **targets)).collect()}
+            assert {t: best.get(t) for t in wanted} == wanted
+
+
 def test_url_query_against_brute_force(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     made = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", urls.tokens(urls.F.col("url"), urls.host(urls.F.col("url")), urls.path(urls.F.col("url"))).alias("t"))
